@@ -36,7 +36,7 @@ def pieces_of(body: Column, limit: int, overlap: int) -> Column:
     # running ends of the cuts, then each piece looks back over the overlap, but not into a character
     ends = F.aggregate(
         cut, F.array().cast("array<int>"),
-        lambda acc, x: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1), F.lit(0)) + F.length(x))),
+        lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(x))),
     )
 
     def piece(text: Column, stops: Column) -> Column:
