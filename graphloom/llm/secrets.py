@@ -22,9 +22,9 @@ class Hit(NamedTuple):
 _WORD = r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api_?key|access_?key|secret_?key|signing_?key|private_?key|auth_?key|encryption_?key|key_?value|credential|grant|bearer|auth(?:orization)?)"
 _NAME = rf"[A-Za-z_$][\w$]*"
 _LIT = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`)"""
-_SENSITIVE = re.compile(rf"(?i){_WORD}")
+_SENSITIVE = re.compile(rf"(?i){_WORD}|hook_?url_?key")
 # parts of names that turn a credential's name into something else
-_ABOUT = re.compile(r"(?i)rule|policy|hint|label|length|len$|min|max|count|name$|url$|uri$|field|regex|pattern|hash|digest|sha|checksum|public|verify|type$|kind$|expir|ttl|format|prompt|placeholder|header_?name|path$|file$|id$|ids$|error|message|msg$|help|title|sample|example|fake|mock|dummy")
+_ABOUT = re.compile(r"(?i)rule|policy|hint|label|length|len$|(?<!ad)min|max|count|name$|url$|uri$|field|regex|pattern|hash|digest|sha|checksum|public|verify|type$|kind$|expir|ttl|format|prompt|placeholder|header_?name|path$|file$|id$|ids$|error|message|msg$|help|title|sample|example|fake|mock|dummy")
 
 # Forms of well-known providers' credentials.
 _PROVIDER = re.compile(
@@ -37,12 +37,16 @@ _PROVIDER = re.compile(
     )""",
     re.X,
 )
-_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----([\s\S]{0,8000}?)(?:-----END [A-Z0-9 ]*-----|\Z)")
+# a body runs to the next row of dashes, of whatever length; one that no end mark closes as far as its letters go
+_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:((?:[^-]|-(?!----))*+)-----END [A-Z0-9 ]*-----|([A-Za-z0-9+/=\s\\\"'`,;.]*+))")
+# what may stand between the equals sign and the literal; a line break only behind an opening mark; possessive, so linear
+_BEFORE = r"(?:[\w$.!?(,|&\[: \t]++|(?<=[=(,|&\[])\r?\n\s*+)*+"
 _ASSIGN = re.compile(
-    rf"""(?ix)(?<![\w$.\-])(?P<name>{_NAME})(?:\s*\??:\s*&?(?:'static\s+)?[\w<>\[\]|. ]{{1,40}}?)?\s*(?::=|(?<![=!<>])=(?!=|>))\s*(?P<rhs>(?:[\w$.!?]+\s*(?:\([^\n"'`()]*)?[\s(,|?&]*)*{_LIT}[^\n]*)"""
+    rf"""(?i)(?<![\w$.\-])(?P<name>{_NAME})(?:\s*\??:\s*&?(?:'static\s+)?[\w<>\[\]|. ]{{1,40}}?)?\s*(?::=|(?<![=!<>])=(?!=|>))\s*(?P<rhs>{_BEFORE}{_LIT}[^\n]*)"""
 )
 _ASSIGN_HEAD = re.compile(rf"(?i){_WORD}[\w$]*|env\w*|getenv|orElse|fetch")
-_COMPARE = re.compile(rf"""(?i)\b[\w.$]*(?:{_WORD})[\w$]*(?:\(\))?\s*(?:===?|!==?|\.equals\(|\.eql\?\s*\(?|,|\.compare\(|\.eq\()\s*(?P<lit>{_LIT})""")
+_COMPARE = re.compile(rf"""(?i)(?:===?|!==?|\.equals\(|\.eql\?\s*\(?|,|\.compare\(|\.eq\()\s*(?P<lit>{_LIT})""")
+_NAMED = re.compile(rf"(?i){_WORD}")
 _COMPARE_REV = re.compile(rf"""(?i)(?P<lit>{_LIT})\s*(?:===?|!==?|\.equals\()\s*[\w.$]*(?:{_WORD})""")
 _PAIR = re.compile(rf"""(?i)(?P<q>\\?["'])(?P<name>[\w\-]*(?:pass(?:word|wd)?|pwd|secret|token|api_?key)[\w\-]*)(?P=q)\s*(?::|=>)\s*(?P<q2>\\?["'])(?P<v>(?:(?!(?P=q2))[^\n\\])+)(?P=q2)""")
 _FIELD = re.compile(r"""(?i)(?<![\w])(?:password|pwd|accountkey|sharedaccesskey|secret)=(?P<v>[^;"'\s`&]+)(?=[;"'`])""")
@@ -50,7 +54,10 @@ _URL = re.compile(r"""(?i)\b[a-z][a-z0-9+.\-]*://(?P<user>[^\s:/@"'`]*):(?P<v>[^
 _QUERY = re.compile(rf"""(?i)[?&](?:[\w\-]*token|sig|signature|api_?key|apikey|key|secret|client_secret|password|passwd|auth)=(?P<v>[^\s&"'`#)>]+)""")
 _HEADER = re.compile(r"""(?i)(?:authorization["']?\s*[:=]\s*["']?\s*|\b)(?P<scheme>Basic|Bearer|Token)\s+(?P<v>[A-Za-z0-9+/=_\-.~]{8,})""")
 _CURL = re.compile(r"""(?i)\s(?:-u|--user)[ =]?["']?(?P<user>[\w.\-]+):(?P<v>[^"'\n]+)""")
-_ENVLINE = re.compile(rf"""(?i)\b(?P<name>[A-Z][A-Z0-9_]*(?:{_WORD}|_KEY)[A-Z0-9_]*)=(?P<v>[^\s"'`;][^\n"'`]*)""")
+_ENVLINE = re.compile(r"""\b(?P<name>[A-Za-z][A-Za-z0-9_]*+)=(?=[^\s"'`;])""")
+_ENVNAME = re.compile(rf"(?i)[A-Z][A-Z0-9_]*(?:{_WORD}|_KEY)")
+_ENVVALUE = re.compile(r"""[^\n"'`]*""")
+_MAYBE_SENSITIVE = re.compile(rf"(?i){_WORD}|_key\b|_pw\b")
 _SPOKEN = re.compile(rf"""(?ix)(?:
       \b(?:login|credentials?|account)\s+(?:is|are|was)\s+[\w.\-]+\s*/
     | \b(?:works?|use[ds]?|log(?:s|ged)?\s?in|sign(?:s|ed)?\s?in|call(?:s|ed)?)\s+(?:it\s+)?with\s+(?:the\s+)?(?:\w+\s+)?(?:key|token|password|pw|pass|secret)
@@ -65,11 +72,12 @@ _LOOKUP = re.compile(r"(?i)env\b|environ|getenv|env\w*\(|orelse|\.get\(|fetch\(|
 
 # What stands in for a credential in templates, documents and tests.
 _PLACEHOLDER = re.compile(
-    r"""(?ix)\$\{ | \{\{ | %\(|%s | ^<.*>$ | <[\w\- ]+> | ^\$[A-Z_]+ | ^%[A-Z_]+%$ | ^\#\{ | change[\s_\-]?(?:me|it|this) | example | placeholder | your[\s_\-] | ^your | redact | ^\[.*\]$
+    r"""(?ix)\$\{ | \{\{ | %\(|(?-i:%s)(?![A-Za-z0-9]) | ^<.*>$ | <[\w\- ]+> | ^\$[A-Z_]+ | ^%[A-Z_]+%$ | ^\#\{ | change[\s_\-]?(?:me|it|this) | example | placeholder | your[\s_\-] | ^your | redact | ^\[.*\]$
     | x{4,} | \*{3,} | \.{3,} | ^(?:todo|tbd|fixme|none|null|nil|undefined|true|false|n/?a)\b | vault | keychain | secrets?[_\-\s]?manager | ^ref: | ^env: | ^arn: | ^file: | ^/[\w/.\-]+$
     | dummy | ^fake | ^mock | ^sample | ^test(?:ing)?[_\-]? | ^foo | ^bar$ | insert[\s_\-] | replace[\s_\-] | ^set[\s_\-] | set-me | ^secret:? | ^password:?\b | ^passwd$ | ^pass$ | ^token:?\b | ^key$ | ^user(?:name)?$ | ^admin$ | ^string$ | ^bearer$
     | ^(?:at\sleast|must|should|enter|please|invalid|missing|wrong|the|a|an|no|not|is|too)\b"""
 )
+_NO_HOST = re.compile(r"(?i)example|placeholder|^your|[<{$%*]|^host(?:name)?$")
 _FUNCTION_WORDS = frozenset("the a an is are was must not be at least of to in for and or with see this that from on by it as do no page word lives".split())
 
 
@@ -84,7 +92,7 @@ def placeholder(v: str) -> bool:
 
 def plausible(v: str) -> bool:
     """Whether a value in a credential's place could be one: long enough, no stand-in, no prose, no name to look up."""
-    if len(v) < 8 or len(v) > 400 or placeholder(v):
+    if len(v) < 8 or placeholder(v):
         return False
     words = v.split()
     if len(words) > 1:
@@ -129,6 +137,18 @@ def _spoken_value(v: str) -> str:
     return v.rstrip(".,;") if len(v) > 1 else v
 
 
+def _name_before(text: str, i: int) -> str:
+    """The name, or the name of the call without arguments, that ends before ``i``."""
+    while i > 0 and text[i - 1].isspace():
+        i -= 1
+    if text.endswith("()", 0, i):
+        i -= 2
+    j = i
+    while j > 0 and (text[j - 1].isalnum() or text[j - 1] in "_$"):
+        j -= 1
+    return text[j:i]
+
+
 def candidates(text: str) -> list[Hit]:
     """All places that look like a credential, each once; stand-ins are left out."""
     hits: dict[int, Hit] = {}
@@ -139,7 +159,7 @@ def candidates(text: str) -> list[Hit]:
             hits[start] = Hit(start, end, value, kind, structured)
 
     for m in _PEM.finditer(text):
-        body = re.sub(r"[^A-Za-z0-9+/=]", "", m.group(1).replace("\\n", ""))
+        body = re.sub(r"[^A-Za-z0-9+/=]", "", (m.group(1) or m.group(2) or "").replace("\\n", ""))
         if len(body) >= 40 and not placeholder(body[:60]):
             add(m.start(), m.end(), body, "private key", True)
     pems = [(h.start, h.end) for h in hits.values()]
@@ -152,12 +172,14 @@ def candidates(text: str) -> list[Hit]:
         for m in _ASSIGN.finditer(text):
             name, rhs = m.group("name"), m.group("rhs")
             named = _SENSITIVE.search(name) and not _ABOUT.search(re.sub(r"(?i)_?(?:b64|base64|parts?|raw|value)\d*$|\d+$", "", name))
+            if not named and sum(map(rhs.count, "\"'`")) < 4 and not _MAYBE_SENSITIVE.search(rhs):
+                continue
             lits = list(_STRINGS.finditer(rhs))
             if not lits:
                 continue
             at = m.start("rhs")
             lookup = _LOOKUP.search(rhs[: lits[0].start()]) or len(lits) > 1 and _LOOKUP.search(rhs[: lits[-1].start()])
-            if lookup and not re.search(r"\+|concat", rhs):
+            if lookup and not re.search(r"\+|concat", _STRINGS.sub("", rhs)):
                 env = rhs[: lits[-1].start()]
                 if not (named or _SENSITIVE.search(env) or re.search(r"(?i)_key\b|_pw\b", env)):
                     continue
@@ -194,15 +216,14 @@ def candidates(text: str) -> list[Hit]:
                     continue
             if plausible(v) and "://" not in v and not re.match(r"(?i)basic |bearer ", v):
                 add(at + lits[0].start() + 1, at + end - 1, v, "assigned", False)
-        for rx in (_COMPARE, _COMPARE_REV):
-            for m in rx.finditer(text):
-                v = _body(m.group("lit"))
-                if plausible(v):
-                    add(m.start("lit") + 1, m.end("lit") - 1, v, "compared", False)
+        for m in [m for m in _COMPARE.finditer(text) if _NAMED.search(_name_before(text, m.start()))] + list(_COMPARE_REV.finditer(text)):
+            v = _body(m.group("lit"))
+            if plausible(v):
+                add(m.start("lit") + 1, m.end("lit") - 1, v, "compared", False)
         for m in _PAIR.finditer(text):
             if plausible(m.group("v")) and not _ABOUT.search(m.group("name")):
                 add(m.start("v"), m.end("v"), m.group("v"), "pair", False)
-        for m in _FIELD.finditer(text):
+        for m in _FIELD.finditer(text) if any(w in low for w in ("password=", "pwd=", "key=", "secret=")) else ():
             if plausible(m.group("v")):
                 add(m.start("v"), m.end("v"), m.group("v"), "field", False)
         for m in _SPOKEN.finditer(text):
@@ -210,13 +231,15 @@ def candidates(text: str) -> list[Hit]:
             if plausible(v):
                 add(m.start("v"), m.start("v") + len(v), v, "comment", False)
         for m in _ENVLINE.finditer(text):
-            v = _spoken_value(m.group("v"))
+            if not _ENVNAME.match(m.group("name")):
+                continue
+            v = _spoken_value(_ENVVALUE.match(text, m.end()).group())
             if plausible(v) and not _ABOUT.search(m.group("name").replace("KEY", "")):
-                add(m.start("v"), m.start("v") + len(v), v, "comment", False)
+                add(m.end(), m.end() + len(v), v, "comment", False)
     if "://" in text:
         for m in _URL.finditer(text):
             v = m.group("v")
-            if plausible(v) and not placeholder(m.group("host")) :
+            if plausible(v) and not _NO_HOST.search(m.group("host")):
                 add(m.start("v"), m.end("v"), v, "address", False)
         for m in _QUERY.finditer(text):
             v = m.group("v")
@@ -252,9 +275,37 @@ def candidates(text: str) -> list[Hit]:
 def blank(text: str, spans: list[tuple[int, int]], mark: str = "[REDACTED]") -> str:
     """The text with the spans replaced; line breaks inside a span stay, so that line numbers hold."""
     out, at = [], 0
+    merged: list[list[int]] = []
     for a, b in sorted(spans):
-        if a < at:
-            continue
+        if merged and a < merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    for a, b in merged:
         out += [text[at:a], mark, "\n" * text.count("\n", a, b)]
         at = b
     return "".join([*out, text[at:]])
+
+
+_RUN = re.compile(r"[A-Za-z0-9]{4,}")
+
+
+def anchor(value: str) -> str | None:
+    """The longest run of letters and digits, by which the texts that may hold the value are looked up."""
+    return max(_RUN.findall(value), key=len, default=None)
+
+
+def rescan(text: str, values: list[str]) -> list[tuple[int, int]]:
+    """Where the text holds one of the values, none as a part of a longer word."""
+    out = []
+    for v in values:
+        at = text.find(v)
+        while at >= 0:
+            end = at + len(v)
+            if not _WORDLIKE.match(text[max(0, at - 1) : at]) and not _WORDLIKE.match(text[end : end + 1]):
+                out.append((at, end))
+            at = text.find(v, at + 1)
+    return sorted(set(out))
+
+
+_WORDLIKE = re.compile(r"[A-Za-z0-9]")
