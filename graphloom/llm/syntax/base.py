@@ -6,8 +6,8 @@ descends over the kinds alone. On an error the statement is given up, the error
 parsing goes on at the next statement, so that all errors of a file are reported.
 
 Statements repeat a lot between files, so a run of lines whose kinds were accepted once as whole
-statements in the same place of the grammar is accepted again without a descent. The memory for
-that is bounded; it changes no result.
+statements in the same place of the grammar is accepted again without a descent. Where line breaks
+decide and are no kinds, the run's line breaks belong to its key. The memory is bounded.
 """
 
 from __future__ import annotations
@@ -53,6 +53,7 @@ class Parser:
     ID: frozenset[str] = frozenset(["id"])
     BIN: dict[str, tuple[int, bool]] = {}
     # kinds that go on with a statement when they start a line of the same indent
+    BREAKS = False  # whether the grammar looks at line breaks that are no kinds
     CONT: frozenset[str] = frozenset([")", "]", "}", "else", "catch", "finally", "case", "default", ".", "?"])
 
     def __init__(self, toks: Tokens, memo: dict):
@@ -151,6 +152,9 @@ class Parser:
                     return
                 j = self.chunk_end(i)
                 key = (what, *K[i:j]) if 0 < j - i <= MEMO_LEN else None
+                if key is not None and self.BREAKS:
+                    # the chunk starts a line, as does what follows it
+                    key = (*key, *(n for n in range(1, j - i) if self.NL[i + n]))
                 if key is not None and key in memo:
                     self.i = j
                     continue

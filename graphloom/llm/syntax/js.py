@@ -22,6 +22,7 @@ _MODS = frozenset(["public", "private", "protected", "readonly", "static", "abst
 
 class Js(Parser):
     TS = False
+    BREAKS = True
     ID = frozenset(["id"]) | (JS_WORDS - _RESERVED)
     BIN = {k: (p, k == "**") for k, p in _BIN.items()}
     CONT = Parser.CONT | frozenset(_BIN) | _ASSIGN | frozenset(["?.", "(", "[", "tpl", "tplhead", ":", ",", "=>", "as"]) - frozenset(["in"])

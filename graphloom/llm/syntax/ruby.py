@@ -228,6 +228,7 @@ def _percent(text: str, m: re.Match) -> int:
 
 
 class Rb(Parser):
+    BREAKS = True
     ID = frozenset(["id", "const"])
     BIN = {k: (p, k == "**") for k, p in _BIN.items()}
     CONT = frozenset(["else", "elsif", "when", "in", "rescue", "ensure", "end", ")", "]", "}", ".", "&.", "&&", "||", "?", ":"])
