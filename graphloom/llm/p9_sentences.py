@@ -47,7 +47,7 @@ def split_sentences(docs: DataFrame) -> DataFrame:
     """One row per sentence of every document: doc_id, nr (from 0), start_at, end_at in code points.
 
     Two passes. The first collects from every document what its unambiguous places say about words
-    before full stops and words that start sentences; the sums over the corpus are joined back to the documents that
+    before full stops, words that start sentences and names; the sums over the corpus are joined back to the documents that
     hold the words. The second splits each document by its own evidence, then the corpus's. Documents
     whose text is null, empty or white space give no row. Repeated rows give repeated sentences; a null doc_id is
     kept as null. Other columns are ignored.
@@ -61,7 +61,7 @@ def split_sentences(docs: DataFrame) -> DataFrame:
     word = F.col("word")
     said = F.when(F.col("kind") == "A", F.when((F.col("yes") >= 3) & (F.col("yes") * 2 > F.col("no") * 3), F.concat(F.lit("A"), word)).when(
         (F.col("no") >= 3) & (F.col("no") > F.col("yes") * 2), F.concat(F.lit("N"), word)
-    )).when((F.col("yes") >= 2) & (F.col("yes") > F.col("no")), F.concat(F.lit("S"), word))
+    )).when((F.col("yes") >= 2) & (F.col("yes") > F.col("no")), F.concat("kind", word))
     stats = stats.select("kind", "word", said.alias("said")).where("said is not null")
     known = ev.select("text_key", "kind", "word").join(stats, ["kind", "word"]).groupBy("text_key").agg(F.collect_set("said").alias("known"))
     return docs.join(known, "text_key", "left").select("doc_id", "text", "known").mapInArrow(_split, FOUND)

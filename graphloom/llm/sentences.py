@@ -3,7 +3,7 @@
 A text is cut into blocks (paragraphs, headings, list items; lines in chats). In a block every mark
 that can end a sentence is judged: by what stands around it, by what the rest of the document shows
 unambiguously about the word before it (is it an abbreviation?) and the word behind it (does it start
-sentences?), and by the corpus where the document is silent.
+sentences, is it a name?), and by the corpus where the document is silent.
 """
 
 from __future__ import annotations
@@ -155,10 +155,16 @@ def token_before(text: str, a: int, i: int) -> tuple[str, int]:
 
 def evidence(text: str, chat: bool) -> dict[tuple[str, str], list[int]]:
     """What the text shows unambiguously: ('A', word) -> [as abbreviation, as a sentence's last word],
-    ('S', key) -> [at the start of a block or behind a wide mark, inside]."""
+    ('S', key) -> [at the start of a block or behind a wide mark, inside],
+    ('P', word) -> [with a capital within a sentence, in lower case]. What stands before a name is no evidence that it
+    ends a sentence."""
     out: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
     if chat:
         return out
+    named, small = _names(text)
+    for w, n in named.items():
+        out["P", w][0] += n
+        out["P", w][1] += small.get(w.lower(), 0)
     for a, b in blocks(text, chat):
         i = a
         while i < b and (text[i].isspace() or text[i] in _OPEN or text[i] in "\"¿¡"):
@@ -213,10 +219,32 @@ def evidence(text: str, chat: bool) -> dict[tuple[str, str], list[int]]:
             elif _script(text[j]) == "d":
                 out[key][0] += 1
             else:
+                p = _script(text[j]) == "u" and _WORD.match(text, j, b)
+                if p:
+                    if p.group() not in named:
+                        out["P", p.group()][1] = small.get(p.group().lower(), 0)
+                    elif named[p.group()] > small.get(p.group().lower(), 0):
+                        continue
                 out[key][1] += 1
     return out
 
 
+def _names(text: str) -> tuple[dict[str, int], dict[str, int]]:
+    """Words with a capital behind a plain lower-case word, and the words in lower case, with their counts."""
+    named: dict[str, int] = {}
+    small: dict[str, int] = {}
+    before = False
+    for t in text.split():
+        w = t.rstrip(".,;:!?)”»\"’")
+        if before and w[:1].isupper() and not w.isupper() and (m := _WORD.match(w)):
+            named[m.group()] = named.get(m.group(), 0) + 1
+        low = w.islower()
+        if low:
+            small[w] = small.get(w, 0) + 1
+        before = low and t.isalpha()
+    return named, small
+
+
 def looks_like_chat(text: str) -> bool:
     """Several short lines without a blank one between them, none of which ends or holds a sentence mark."""
     t = text.strip()
@@ -246,6 +274,13 @@ class Judge:
         yes, no = self.own.get(("A", word), (0, 0))
         return not word.isalpha() or no > 2 * yes or "N" + word in self.corpus
 
+    def name(self, word: str) -> bool:
+        """Words that have their capital within sentences too."""
+        yes, small = self.own.get(("P", word), (0, 0))
+        if yes or small:
+            return yes > small
+        return "P" + word in self.corpus
+
     def starts(self, key: str) -> bool:
         yes, inside = self.own.get(("S", key), (0, 0))
         if yes > inside:
@@ -438,6 +473,8 @@ def _ends(text: str, a: int, start: int, s: int, e: int, end: int, b: int, judge
         return k == "u" and not lower
     if judge.abbreviation(low) and (lower and not starter or k == "d"):
         return False
+    if k == "u" and len(low) > 1 and low.isalpha() and judge.abbreviation(low) and (m := _WORD.match(text, j, b)) and judge.name(m.group()):
+        return False
     return not lower or starter or judge.final(low)
 
 
