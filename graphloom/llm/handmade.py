@@ -158,6 +158,26 @@ def grams(name: str) -> list[str]:
     return [t[i : i + 3] for i in range(len(t) - 2)]
 
 
+NAME_WINDOW = 40
+NAME_LEAST = 12
+
+
+def name_diversity(names: list[str]) -> float:
+    """Distinct trigrams among the trigrams of the names, as the mean over runs of NAME_WINDOW names in the order of the
+    text, so that a long file is not less diverse for its length; 1 for fewer than NAME_LEAST names."""
+    names = [w for w in names if len(w) > 2]
+    if len(names) < NAME_LEAST:
+        return 1.0
+    shares = []
+    for i in range(0, len(names), NAME_WINDOW):
+        run = names[i : i + NAME_WINDOW]
+        if i and len(run) < NAME_WINDOW:
+            break
+        each = [set(grams(w)) for w in run]
+        shares.append(len(set().union(*each)) / sum(map(len, each)))
+    return sum(shares) / len(shares)
+
+
 def path_says(path: str) -> str:
     """'foreign', 'tool', 'min' or ''; directories are compared whole and in lower case."""
     parts = [p for p in re.split(r"[\\/]+", path) if p]

@@ -9,20 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.files import task_files
-from graphloom.llm.handmade import grams, identifiers, model_of, notices, path_says, said, said_anywhere, shape, style
+from graphloom.llm.handmade import grams, identifiers, model_of, name_diversity, notices, path_says, said, said_anywhere, shape, style
 from graphloom.sources.tables import Scratch
 
 DATA_SHARE = 0.6  # share of the characters on lines of literals only
 DATA_CHARS = 200
 DIVERSITY = 0.25  # distinct line shapes among the lines, of at least DIVERSE_LINES
 DIVERSE_LINES = 8
+NAME_DIVERSITY = 0.5  # distinct trigrams among those of the names; below, one template made them
 MANGLED_BITS = 3.2  # per character, under the language model that fits best
 SHORT_SHARE = 0.3  # share of names of at most two letters among the distinct names
 LONG_CODE = 300  # characters of one line outside strings
 STYLE_NAMES = 12  # names with a style that a file needs before its style is judged
 STYLE_SHARE = 0.9
 
-_SHAPE = ["n_chars", "n_lines", "data_share", "long_share", "longest_code", "diversity", "bundle"]
+_SHAPE = ["n_chars", "n_lines", "data_share", "long_share", "longest_code", "diversity", "bundle", "name_diversity"]
 FEATURES = (
     "task_id bigint, repository_id string, lang string, path_says string, tool boolean, copied boolean, "
     + ", ".join(f"{c} double" for c in _SHAPE) + ", names array<string>"
@@ -43,7 +44,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tools.append(t)
             copies.append(c)
             names.append(list(identifiers(text, lang or "")))
-            for k, v in shape(text, lang or "").items():
+            for k, v in (shape(text, lang or "") | {"name_diversity": name_diversity(names[-1])}).items():
                 shapes[k].append(v)
         yield pa.RecordBatch.from_arrays(
             [b["task_id"], b["repository_id"], b["lang"], pa.array(paths, pa.string()), pa.array(tools, pa.bool_()), pa.array(copies, pa.bool_())]
@@ -134,7 +135,7 @@ def classify(files: DataFrame) -> DataFrame:
 
     ``files`` has task_id, repository_id, abs, lang, content; other columns are ignored. A name model (character
     trigrams over all files, per language) is trained first: names that fit no language's model and are very short
-    are mangled. Few line shapes among many lines make a template, the other naming style
+    are mangled. Few line shapes among many lines, or few trigrams among many names, make a template, the other naming style
     than the language's a copy from another project. Paths, and what comments at the file's head or foot say, decide before
     the models. Files with null content are left out; an empty file is hand-written.
     """
@@ -168,6 +169,7 @@ def classify(files: DataFrame) -> DataFrame:
         .when((c("longest_code") >= LONG_CODE) & (c("short_share") >= SHORT_SHARE), "packed")
         .when((c("data_share") >= DATA_SHARE) & (c("n_chars") >= DATA_CHARS), "data")
         .when((c("diversity") < DIVERSITY) & (c("n_lines") >= DIVERSE_LINES), "template")
+        .when(c("name_diversity") < NAME_DIVERSITY, "template")
         .when(c("foreign_style"), "style")
     )
     return scored.withColumn("reason", reason)
