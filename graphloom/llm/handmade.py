@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import lru_cache
 
 # Directories that hold other people's code, or a tool's.
 FOREIGN_DIRS = frozenset(
@@ -54,7 +55,8 @@ _COMMENT = {
 _STRING = re.compile(r'"""[\s\S]*?"""|\'\'\'[\s\S]*?\'\'\'|`[^`]*`|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'')
 _RAW = re.compile(r'r(#+)"[\s\S]*?"\1')
 _HEREDOC = re.compile(r"<<[~-]?([\"']?)([A-Za-z_]\w*)\1[^\n]*\n[\s\S]*?\n[ \t]*\2\b")
-_DATA_LINE = re.compile(r"""^[\s,\[\](){}]*(?:(?:[-+]?(?:0[xX][0-9a-fA-F]+|\d[\d_.]*(?:[eE][-+]?\d+)?)[uUlLfF]{0,3}\d{0,2}|b?r?"(?:[^"\\]|\\.)*"|b?'(?:[^'\\]|\\.)*')\s*(?::|=>)?[\s,+\[\](){}]*)+[;\s]*$""")
+# possessive throughout, so a line of any length is matched whole in one pass
+_DATA_LINE = re.compile(r"""^[\s,\[\](){}]*+(?:(?:[-+]?(?:0[xX][0-9a-fA-F]++|\d[\d_.]*+(?:[eE][-+]?\d++)?+)[uUlLfF]{0,3}+\d{0,2}+|b?r?"(?:[^"\\]++|\\.)*+"|b?'(?:[^'\\]++|\\.)*+')\s*+(?::|=>)?+[\s,+\[\](){}]*+)++[;\s]*$""")
 _LEAD = re.compile(r"[ \t\r\n﻿]*")
 _NORM_WORD = re.compile(r"[^\W\d]\w*")
 _NORM_NUM = re.compile(r"\d+")
@@ -158,6 +160,11 @@ def grams(name: str) -> list[str]:
     return [t[i : i + 3] for i in range(len(t) - 2)]
 
 
+@lru_cache(100_000)
+def _gram_set(name: str) -> frozenset[str]:
+    return frozenset(grams(name))
+
+
 NAME_WINDOW = 40
 NAME_LEAST = 12
 
@@ -173,7 +180,7 @@ def name_diversity(names: list[str]) -> float:
         run = names[i : i + NAME_WINDOW]
         if i and len(run) < NAME_WINDOW:
             break
-        each = [set(grams(w)) for w in run]
+        each = [_gram_set(w) for w in run]
         shares.append(len(set().union(*each)) / sum(map(len, each)))
     return sum(shares) / len(shares)
 
@@ -207,7 +214,7 @@ def shape(text: str, lang: str) -> dict[str, float]:
     """Shares and diversity of the text itself."""
     lines = text.split("\n")
     n = max(1, len(text))
-    data = sum(len(x) + 1 for x in lines if len(x) > 12 and _DATA_LINE.match(x[:4000]))
+    data = sum(len(x) + 1 for x in lines if len(x) > 12 and _DATA_LINE.match(x))
     long = sum(len(x) for x in lines if len(x) > 500)
     longest_code = max((len(_STRING.sub("", x)) for x in lines if len(x) > 300), default=0)
     norm = [x for x in map(str.strip, _NORM_NUM.sub("0", _NORM_WORD.sub("a", text)).split("\n")) if len(x) >= 2]
