@@ -40,3 +40,8 @@ def current(spark: SparkSession, sf_dir: str) -> DataFrame:
 def task_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """task_id, repository_id, abs, lang, content of every task whose file has current content."""
     return tasks(spark, sf_dir).join(current(spark, sf_dir).where("content is not null"), "abs")
+
+
+def all_task_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``task_files``, of every task; content is null where the latest read failed or there is none."""
+    return tasks(spark, sf_dir).join(current(spark, sf_dir), "abs", "left")

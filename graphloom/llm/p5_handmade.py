@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.files import task_files
+from graphloom.llm.files import all_task_files
 from graphloom.llm.handmade import grams, identifiers, model_of, name_diversity, notices, path_says, said, said_anywhere, shape, style
 from graphloom.sources.tables import Scratch
 
@@ -35,6 +35,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         paths, tools, copies, names = [], [], [], []
         shapes: dict[str, list[float]] = {c: [] for c in _SHAPE}
         for path, lang, text in zip(b["abs"].to_pylist(), b["lang"].to_pylist(), b["content"].to_pylist()):
+            text = text or ""
             if "\x00" in text:  # another encoding that was read as this one
                 text = text.replace("\x00", "")
             t, c = said(notices(text, lang or ""))
@@ -137,11 +138,11 @@ def classify(files: DataFrame) -> DataFrame:
     trigrams over all files, per language) is trained first: names that fit no language's model and are very short
     are mangled. Few line shapes among many lines, or few trigrams among many names, make a template, the other naming style
     than the language's a copy from another project. Paths, and what comments at the file's head or foot say, decide before
-    the models. Files with null content are left out; an empty file is hand-written.
+    the models. Files with null content are judged by their path alone, as empty ones are.
     """
     spark = files.sparkSession
     scratch = Scratch(spark, "handmade")
-    f = files.select("task_id", "repository_id", "abs", "lang", "content").where(F.col("content").isNotNull())
+    f = files.select("task_id", "repository_id", "abs", "lang", "content")
     feats = scratch.keep(f.mapInArrow(_features, FEATURES), "features")
     counts = feats.select("lang", "names").where("lang is not null").mapInArrow(_count, "lang string, gram string, n bigint")
     # at most 31^3 trigrams for each of seven languages, however large the corpus
@@ -177,12 +178,12 @@ def classify(files: DataFrame) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that nobody wrote by hand for their repository."""
-    return classify(task_files(spark, sf_dir)).where("reason is not null").select("task_id")
+    return classify(all_task_files(spark, sf_dir)).where("reason is not null").select("task_id")
 
 
 def p5_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per repository and language, how many files there are of each reason, hand-written ones as ``hand``."""
-    per = classify(task_files(spark, sf_dir)).groupBy("repository_id", "lang", F.coalesce("reason", F.lit("hand")).alias("reason"))
+    per = classify(all_task_files(spark, sf_dir)).groupBy("repository_id", "lang", F.coalesce("reason", F.lit("hand")).alias("reason"))
     return per.agg(F.count(F.lit(1)).alias("n_files"))
 
 
@@ -191,7 +192,7 @@ def p5_hand_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.p2_pieces import clean_path
     from graphloom.sources.tables import table
 
-    files = task_files(spark, sf_dir)
+    files = all_task_files(spark, sf_dir)
     bad = classify(files).where("reason is not null").select("task_id")
     path = F.lower(F.regexp_replace("abs", r"^/srv/checkouts/[^/]+/", ""))
     paths = files.select("task_id", "repository_id", path.alias("file")).join(bad, "task_id").select("repository_id", "file").distinct()
