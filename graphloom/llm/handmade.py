@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import math
 import re
+from array import array
 from functools import lru_cache
 
+import numpy as np
+
 # Directories that hold other people's code, or a tool's.
 FOREIGN_DIRS = frozenset(
     """node_modules bower_components jspm_packages pods carthage third_party third-party thirdparty 3rdparty 3rd_party
@@ -160,9 +162,16 @@ def grams(name: str) -> list[str]:
     return [t[i : i + 3] for i in range(len(t) - 2)]
 
 
-@lru_cache(100_000)
-def _gram_set(name: str) -> frozenset[str]:
-    return frozenset(grams(name))
+# Classes of the trigrams: a-z, then digit, underscore or start of a word, anything else, start, end.
+_CLASS = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz0_?^$")}
+N_GRAMS = len(_CLASS) ** 3
+
+
+@lru_cache(200_000)
+def gram_ids(name: str) -> bytes:
+    """The trigrams of a name as numbers below N_GRAMS, two bytes each in the machine's order."""
+    k = len(_CLASS)
+    return array("H", [(_CLASS[g[0]] * k + _CLASS[g[1]]) * k + _CLASS[g[2]] for g in grams(name)]).tobytes()
 
 
 NAME_WINDOW = 40
@@ -180,11 +189,16 @@ def name_diversity(names: list[str]) -> float:
         run = names[i : i + NAME_WINDOW]
         if i and len(run) < NAME_WINDOW:
             break
-        each = [_gram_set(w) for w in run]
-        shares.append(len(set().union(*each)) / sum(map(len, each)))
+        ids = array("H", b"".join(map(_distinct_ids, run)))
+        shares.append(len(set(ids)) / len(ids))
     return sum(shares) / len(shares)
 
 
+@lru_cache(200_000)
+def _distinct_ids(name: str) -> bytes:
+    return array("H", sorted(set(array("H", gram_ids(name))))).tobytes()
+
+
 def path_says(path: str) -> str:
     """'foreign', 'tool', 'min' or ''; directories are compared whole and in lower case."""
     parts = [p for p in re.split(r"[\\/]+", path) if p]
@@ -230,10 +244,13 @@ _BUNDLE = re.compile(
 )
 
 
-def model_of(counts: dict[str, int]) -> tuple[dict[str, float], float]:
-    """Bits of every trigram given its first two characters, with add-half smoothing; and of an unseen one."""
-    head: dict[str, int] = {}
-    for g, c in counts.items():
-        head[g[:2]] = head.get(g[:2], 0) + c
-    out = {g: -math.log2((c + 0.5) / (head[g[:2]] + 0.5 * 29)) for g, c in counts.items()}
-    return out, 12.0
+def model_of(counts: np.ndarray) -> np.ndarray:
+    """Bits of every trigram (by number) given its first two characters, with add-half smoothing; UNSEEN for one not seen."""
+    k = len(_CLASS)
+    head = np.repeat(counts.reshape(-1, k).sum(axis=1), k)
+    with np.errstate(divide="ignore"):
+        bits = -np.log2((counts + 0.5) / (head + 0.5 * 29))
+    return np.where(counts > 0, bits, UNSEEN)
+
+
+UNSEEN = 12.0

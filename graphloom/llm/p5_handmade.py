@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.files import all_task_files
-from graphloom.llm.handmade import grams, identifiers, model_of, name_diversity, notices, path_says, said, said_anywhere, shape, style
+from graphloom.llm.handmade import N_GRAMS, gram_ids, identifiers, model_of, name_diversity, notices, path_says, said, said_anywhere, shape, style
 from graphloom.sources.tables import Scratch
 
 DATA_SHARE = 0.6  # share of the characters on lines of literals only
@@ -24,16 +26,19 @@ STYLE_NAMES = 12  # names with a style that a file needs before its style is jud
 STYLE_SHARE = 0.9
 
 _SHAPE = ["n_chars", "n_lines", "data_share", "long_share", "longest_code", "diversity", "bundle", "name_diversity"]
+# one row per file, and per task one row for each language with the trigram counts and styles of its unsuspected files
 FEATURES = (
     "task_id bigint, repository_id string, lang string, path_says string, tool boolean, copied boolean, "
-    + ", ".join(f"{c} double" for c in _SHAPE) + ", names array<string>"
+    + ", ".join(f"{c} double" for c in _SHAPE) + ", short_share double, camel bigint, snake bigint, grams binary, counts array<bigint>"
 )
+_NAMES = ["task_id", "repository_id", "lang", "path_says", "tool", "copied", *_SHAPE, "short_share", "camel", "snake", "grams", "counts"]
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts: dict[str, np.ndarray] = {}
+    styles: dict[str, list[int]] = {}
     for b in batches:
-        paths, tools, copies, names = [], [], [], []
-        shapes: dict[str, list[float]] = {c: [] for c in _SHAPE}
+        cols: dict[str, list] = {c: [] for c in _NAMES[3:-1]}
         for path, lang, text in zip(b["abs"].to_pylist(), b["lang"].to_pylist(), b["content"].to_pylist()):
             text = text or ""
             if "\x00" in text:  # another encoding that was read as this one
@@ -41,92 +46,63 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t, c = said(notices(text, lang or ""))
             if not (t or c):
                 t, c = said_anywhere(text)
-            paths.append(path_says(path))
-            tools.append(t)
-            copies.append(c)
-            names.append(list(identifiers(text, lang or "")))
-            for k, v in (shape(text, lang or "") | {"name_diversity": name_diversity(names[-1])}).items():
-                shapes[k].append(v)
+            where = path_says(path)
+            names = list(identifiers(text, lang or ""))
+            ids = b"".join(map(gram_ids, names))
+            st = list(map(style, names))
+            camel, snake = st.count("camel"), st.count("snake")
+            row = {"path_says": where, "tool": t, "copied": c, "short_share": sum(map(_is_short, names)) / len(names) if names else 0.0,
+                   "camel": camel, "snake": snake, "grams": ids, "name_diversity": name_diversity(names)} | shape(text, lang or "")
+            for k, v in row.items():
+                cols[k].append(v)
+            # a file that says itself that nobody wrote it here is no sample of the language
+            if lang and not (where or t or c):
+                if lang not in counts:
+                    counts[lang], styles[lang] = np.zeros(N_GRAMS, np.int64), [0, 0]
+                if ids:
+                    counts[lang] += np.bincount(np.frombuffer(ids, np.uint16), minlength=N_GRAMS)
+                styles[lang][0] += camel
+                styles[lang][1] += snake
         yield pa.RecordBatch.from_arrays(
-            [b["task_id"], b["repository_id"], b["lang"], pa.array(paths, pa.string()), pa.array(tools, pa.bool_()), pa.array(copies, pa.bool_())]
-            + [pa.array(shapes[c], pa.float64()) for c in _SHAPE] + [pa.array(names, pa.list_(pa.string()))],
-            names=["task_id", "repository_id", "lang", "path_says", "tool", "copied", *_SHAPE, "names"],
+            [b["task_id"], b["repository_id"], b["lang"], *(pa.array(cols[c], _TYPES.get(c, pa.float64())) for c in _NAMES[3:-1]), pa.nulls(len(b), pa.list_(pa.int64()))],
+            names=_NAMES,
         )
+    if counts:
+        n = len(counts)
+        one = {"lang": pa.array(list(counts), pa.string()), "camel": pa.array([styles[x][0] for x in counts], pa.int64()),
+               "snake": pa.array([styles[x][1] for x in counts], pa.int64()), "counts": pa.array(list(counts.values()), pa.list_(pa.int64()))}
+        types = {"task_id": pa.int64(), "repository_id": pa.string(), **_TYPES}
+        yield pa.RecordBatch.from_arrays([one.get(c, pa.nulls(n, types.get(c, pa.float64()))) for c in _NAMES], names=_NAMES)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Trigram counts of the names, each name once a file; summed up per task before the shuffle."""
-    counts: dict[tuple[str, str], dict[str, int]] = {}
-    names: dict[tuple[str, str], int] = {}
-    styles: dict[str, list[int]] = {}
+_TYPES = {"path_says": pa.string(), "tool": pa.bool_(), "copied": pa.bool_(), "camel": pa.int64(), "snake": pa.int64(), "grams": pa.binary()}
 
-    def fold() -> None:
-        for (lang, w), n in names.items():
-            c = counts.setdefault((lang, "g"), {})
-            for g in grams(w):
-                c[g] = c.get(g, 0) + n
-            s = style(w)
-            if s:
-                styles.setdefault(lang, [0, 0])[s == "snake"] += n
-        names.clear()
 
-    for b in batches:
-        for lang, ws in zip(b["lang"].to_pylist(), b["names"].to_pylist()):
-            for w in ws:
-                names[lang, w] = names.get((lang, w), 0) + 1
-        if len(names) > 200_000:
-            fold()
-    fold()
-    rows = [(lang, g, n) for (lang, _), c in counts.items() for g, n in c.items()]
-    rows += [(lang, k, n) for lang, (camel, snake) in styles.items() for k, n in (("camel", camel), ("snake", snake))]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())],
-        names=["lang", "gram", "n"],
-    )
+@lru_cache(200_000)
+def _is_short(name: str) -> bool:
+    return len(name.strip("_$")) <= 2
 
 
-def _judge(models: dict[str, dict[str, float]], floor: float, norms: dict[str, str]):
+def _judge(models: dict[str, np.ndarray]):
     langs = sorted(models)
+    bits = np.stack([models[x] for x in langs]).astype(np.float64) if langs else np.zeros((0, N_GRAMS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, tuple[int, list[float]]] = {}
-
-        def name_bits(w: str) -> tuple[int, list[float]]:
-            got = cache.get(w)
-            if got is None:
-                if len(cache) > 300_000:
-                    cache.clear()
-                g = grams(w)
-                got = cache[w] = (len(g), [sum(models[x].get(y, floor) for y in g) for x in langs])
-            return got
-
         for b in batches:
-            bits, short, foreign = [], [], []
-            for lang, ws in zip(b["lang"].to_pylist(), b["names"].to_pylist()):
-                chars, sums = 0, [0.0] * len(langs)
-                few = 0
-                st = [0, 0]
-                for w in ws:
-                    n, each = name_bits(w)
-                    chars += n
-                    for i, v in enumerate(each):
-                        sums[i] += v
-                    few += len(w.strip("_$")) <= 2
-                    s = style(w)
-                    if s:
-                        st[s == "snake"] += 1
-                best = min(range(len(langs)), key=sums.__getitem__) if langs else -1
-                bits.append(sums[best] / chars if chars else 0.0)
-                short.append(few / len(ws) if ws else 0.0)
-                seen, norm = sum(st), norms.get(lang or "", "")
-                other = st[0] if norm == "snake" else st[1]
-                # a file that reads like another language is in the wrong file, not from another project
-                foreign.append(bool(norm) and seen >= STYLE_NAMES and other >= STYLE_SHARE * seen and langs[best] == lang)
-            keep = [b[c] for c in b.schema.names if c != "names"]
-            yield pa.RecordBatch.from_arrays(
-                [*keep, pa.array(bits, pa.float64()), pa.array(short, pa.float64()), pa.array(foreign, pa.bool_())],
-                names=[c for c in b.schema.names if c != "names"] + ["bits", "short_share", "foreign_style"],
-            )
+            mean, best = [], []
+            for raw in b["grams"].to_pylist():
+                if raw and langs:
+                    n = np.bincount(np.frombuffer(raw, np.uint16), minlength=N_GRAMS)
+                    seen = np.flatnonzero(n)
+                    sums = bits[:, seen] @ n[seen]
+                    k = int(sums.argmin())
+                    mean.append(float(sums[k]) * 2 / len(raw))
+                    best.append(langs[k])
+                else:
+                    mean.append(0.0)
+                    best.append(None)
+            keep = [c for c in b.schema.names if c != "grams"]
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), pa.array(mean, pa.float64()), pa.array(best, pa.string())], names=[*keep, "bits", "reads_like"])
 
     return run
 
@@ -135,43 +111,50 @@ def classify(files: DataFrame) -> DataFrame:
     """One row per file with its features and ``reason``: null for hand-written files, else why not.
 
     ``files`` has task_id, repository_id, abs, lang, content; other columns are ignored. A name model (character
-    trigrams over all files, per language) is trained first: names that fit no language's model and are very short
-    are mangled. Few line shapes among many lines, or few trigrams among many names, make a template, the other naming style
-    than the language's a copy from another project. Paths, and what comments at the file's head or foot say, decide before
-    the models. Files with null content are judged by their path alone, as empty ones are.
+    trigrams of the names, per language) is trained first, on all files that neither their path nor a notice gives away: names
+    that fit no language's model and are very short are mangled. Few trigrams among many names, or few line shapes among many
+    lines, make a template, the other naming style than the language's a copy from another project. Lines of literals are bulk
+    data. What the models leave is then decided by path and by what comments at the file's head or foot say.
+    Files with null content are judged by their path alone, as empty ones are. Repeated rows give repeated rows.
     """
     spark = files.sparkSession
     scratch = Scratch(spark, "handmade")
     f = files.select("task_id", "repository_id", "abs", "lang", "content")
     feats = scratch.keep(f.mapInArrow(_features, FEATURES), "features")
-    counts = feats.select("lang", "names").where("lang is not null").mapInArrow(_count, "lang string, gram string, n bigint")
-    # at most 31^3 trigrams for each of seven languages, however large the corpus
-    rows = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()
-    per: dict[str, dict[str, int]] = {}
-    norms: dict[str, str] = {}
+    # summed up on the executors first: at most N_GRAMS numbers for each of seven languages reach the driver, however large the corpus
+    per = feats.where("counts is not null").select("lang", "camel", "snake", F.posexplode("counts").alias("gram", "n"))
+    per = per.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("camel").alias("camel"), F.sum("snake").alias("snake")).where("n > 0")
+    rows = per.groupBy("lang").agg(F.max("camel").alias("camel"), F.max("snake").alias("snake"), F.collect_list(F.struct("gram", "n")).alias("c")).collect()
+    models: dict[str, np.ndarray] = {}
+    norms: list[tuple[str, str]] = []
     for r in rows:
-        if r["gram"] not in ("camel", "snake"):
-            per.setdefault(r["lang"], {})[r["gram"]] = r["n"]
-    seen = {(r["lang"], r["gram"]): r["n"] for r in rows}
-    for lang in per:
-        a, b = seen.get((lang, "camel"), 0), seen.get((lang, "snake"), 0)
+        counts = np.zeros(N_GRAMS, np.int64)
+        for gram, n in r["c"]:
+            counts[gram] = n
+        models[r["lang"]] = model_of(counts)
+        a, b = r["camel"], r["snake"]
         if max(a, b) >= 0.8 * (a + b) > 0:
-            norms[lang] = "camel" if a > b else "snake"
-    models = {lang: model_of(c)[0] for lang, c in per.items()}
-    scored = feats.mapInArrow(
-        _judge(models, 12.0, norms),
-        FEATURES.replace(", names array<string>", "") + ", bits double, short_share double, foreign_style boolean",
+            norms.append((r["lang"], "camel" if a > b else "snake"))
+    scored = feats.where("counts is null").drop("counts").mapInArrow(
+        _judge(models), FEATURES.replace(", grams binary, counts array<bigint>", "") + ", bits double, reads_like string"
     )
     c = F.col
+    norm = F.lit(None).cast("string")
+    for lang, s in norms:
+        norm = F.when(c("lang") == lang, F.lit(s)).otherwise(norm)
+    styled = c("camel") + c("snake")
+    other = F.when(norm == "snake", c("camel")).otherwise(c("snake"))
+    # a file that reads like another language is in the wrong file, not from another project
+    foreign = norm.isNotNull() & (styled >= STYLE_NAMES) & (other >= STYLE_SHARE * styled) & (c("reads_like") == c("lang"))
     reason = (
-        F.when(c("path_says") != "", c("path_says")).when(c("tool"), "tool").when(c("copied"), "copied")
-        .when((c("bits") >= MANGLED_BITS) & (c("short_share") >= SHORT_SHARE), "mangled")
-        .when(c("bundle") > 0, "bundle")
+        F.when((c("bits") >= MANGLED_BITS) & (c("short_share") >= SHORT_SHARE), "mangled")
         .when((c("longest_code") >= LONG_CODE) & (c("short_share") >= SHORT_SHARE), "packed")
-        .when((c("data_share") >= DATA_SHARE) & (c("n_chars") >= DATA_CHARS), "data")
-        .when((c("diversity") < DIVERSITY) & (c("n_lines") >= DIVERSE_LINES), "template")
         .when(c("name_diversity") < NAME_DIVERSITY, "template")
-        .when(c("foreign_style"), "style")
+        .when((c("diversity") < DIVERSITY) & (c("n_lines") >= DIVERSE_LINES), "template")
+        .when((c("data_share") >= DATA_SHARE) & (c("n_chars") >= DATA_CHARS), "data")
+        .when(foreign, "style")
+        .when(c("bundle") > 0, "bundle")
+        .when(c("path_says") != "", c("path_says")).when(c("tool"), "tool").when(c("copied"), "copied")
     )
     return scored.withColumn("reason", reason)
 
@@ -188,17 +171,20 @@ def p5_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_hand_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per repository, the graph's nodes that lie in hand-written files; ``nodes.file`` is cleaned and compared in lower case."""
+    """The graph's nodes that lie in hand-written files: node_id, repository_id, file.
+
+    ``nodes.file`` is cleaned as a path and compared as written; a node whose file is null or no task's stays.
+    """
+    from graphloom.functions.ids import clean
     from graphloom.llm.p2_pieces import clean_path
     from graphloom.sources.tables import table
 
     files = all_task_files(spark, sf_dir)
     bad = classify(files).where("reason is not null").select("task_id")
-    path = F.lower(F.regexp_replace("abs", r"^/srv/checkouts/[^/]+/", ""))
+    path = F.regexp_replace("abs", r"^/srv/checkouts/[^/]+/", "")
     paths = files.select("task_id", "repository_id", path.alias("file")).join(bad, "task_id").select("repository_id", "file").distinct()
-    nodes = table(spark, sf_dir, "nodes").select("node_id", "repository_id", F.lower(clean_path(F.col("file"))).alias("file")).distinct()
-    left = nodes.join(paths, ["repository_id", "file"], "left_anti")
-    return left.groupBy("repository_id").agg(F.countDistinct("node_id").alias("n_nodes"))
+    nodes = table(spark, sf_dir, "nodes").select(clean("node_id").alias("node_id"), "repository_id", clean_path(F.col("file")).alias("file")).distinct()
+    return nodes.join(paths, ["repository_id", "file"], "left_anti").select("node_id", "repository_id", "file")
 
 
 QUERIES = {"p5_found": p5_found, "p5_reasons": p5_reasons, "p5_hand_nodes": p5_hand_nodes}
