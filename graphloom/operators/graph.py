@@ -170,6 +170,8 @@ def distances(sources: DataFrame, edges: DataFrame, scratch: Scratch, limit: int
         new = front.join(e, front.node == e.src).select("root", F.col("dst").alias("node")).distinct()
         front = scratch.keep(new.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("hops", F.lit(k)), f"d{k}")
         seen = seen.union(front)
+        if k % 4 == 0:  # one table again, so that the plan stays small however deep the graph is
+            seen = scratch.keep(seen, f"seen{k}")
     return seen
 
 
