@@ -112,3 +112,26 @@ def heavy_keys(
     keys = states.groupBy(key).agg(F.sum("n").alias("n_rows"))
     n = scratch.spark.read.parquet(scratch.path(name)).count()
     return keys.withColumn("n_total", F.lit(n).cast("long")).where(F.col("n_rows") * F.lit(one_in) >= F.col("n_total"))
+
+
+def with_previous(
+    df: DataFrame, key: Sequence[str], order: Sequence[Column | str], cols: Sequence[str], scratch: Scratch, name: str,
+    chunk_rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """Every row with ``prev_<col>`` of the row before it within its key (null for the first) and ``_rn``.
+
+    What ``lag`` gives, without a task that holds all rows of a hot key: rows look back within their chunk, and the first
+    row of a chunk takes the last row of the chunk before, of which there is one. Make the order total for a repeatable result.
+    """
+    key = list(key)
+    num = number_rows(df, key, order, scratch, name, chunk_rows)
+    w = Window.partitionBy(*key, "_chunk").orderBy("_rn")
+    num = num.select("*", *[F.lag(c).over(w).alias(f"_in_{c}") for c in cols], (F.row_number().over(w) == 1).alias("_first"))
+    last = num.groupBy(*key, "_chunk").agg(F.max_by(F.struct(*cols), "_rn").alias("_last"))
+    last = last.select(*[F.col(k).alias(f"_glk_{k}") for k in key], (F.col("_chunk") + 1).alias("_glchunk"), "_last")
+    on = F.col("_first") & (F.col("_chunk") == F.col("_glchunk"))
+    for k in key:
+        on = on & F.col(k).eqNullSafe(F.col(f"_glk_{k}"))
+    out = num.join(last, on, "left")
+    prev = [F.when(F.col("_first"), F.col(f"_last.{c}")).otherwise(F.col(f"_in_{c}")).alias(f"prev_{c}") for c in cols]
+    return out.select(*df.columns, *prev, "_rn")

@@ -221,13 +221,13 @@ def phantom_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KIND = "CASE WHEN coalesce(spec, '') IN ('', '*', 'latest', 'x') THEN 'any' WHEN starts_with(spec, '^') THEN 'caret' WHEN starts_with(spec, '~') THEN 'tilde' WHEN regexp_matches(spec, '^=?v?\\d+\\.\\d+\\.\\d+') THEN 'exact' WHEN regexp_matches(spec, '^=?v?\\d') THEN 'partial' ELSE 'other' END"
 
 
-@query(f"""WITH l AS (SELECT DISTINCT repository_id AS repo, regexp_replace(lib_name, '\\d+$', '') AS stem, lib_version AS spec, source_type FROM lib_entries WHERE repository_id IS NOT NULL AND lib_name IS NOT NULL),
+@query(f"""WITH l AS (SELECT DISTINCT repository_id AS repo, string_split(lib_name, '-')[1] AS stem, lib_version AS spec, source_type FROM lib_entries WHERE repository_id IS NOT NULL AND lib_name IS NOT NULL),
 pv AS (SELECT DISTINCT stem, repo AS other FROM l WHERE source_type = 'local'), b AS (SELECT repo, other, stem, max(spec) AS spec FROM l JOIN pv USING (stem) WHERE repo <> other AND source_type <> 'local' GROUP BY 1, 2, 3)
 SELECT repo, other, stem, {_KIND} AS kind, CASE {_KIND} WHEN 'exact' THEN 0.95::DOUBLE WHEN 'tilde' THEN 0.9::DOUBLE WHEN 'caret' THEN 0.8::DOUBLE WHEN 'partial' THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM b""")
 def bridge_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Libraries of a repository that another one keeps itself: edges between repositories, sure by how tightly the version binds."""
     t = table(spark, sf_dir, "lib_entries").where("repository_id is not null and lib_name is not null")
-    t = t.select(F.col("repository_id").alias("repo"), F.regexp_replace("lib_name", r"\d+$", "").alias("stem"), F.col("lib_version").alias("spec"), "source_type")
+    t = t.select(F.col("repository_id").alias("repo"), F.substring_index("lib_name", "-", 1).alias("stem"), F.col("lib_version").alias("spec"), "source_type")
     pv = t.where("source_type = 'local'").select("stem", F.col("repo").alias("other")).distinct()
     b = t.where("source_type <> 'local'").join(pv, "stem").where("repo <> other").groupBy("repo", "other", "stem").agg(F.max("spec").alias("spec"))
     k = range_kind(F.col("spec"))
