@@ -20,3 +20,8 @@ def clamp(x: Column, low: float, high: float) -> Column:
 def ratio(part: Column, whole: Column) -> Column:
     """part / whole, null where whole is 0 or null."""
     return F.when(whole != 0, part / whole)
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

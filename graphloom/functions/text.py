@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from graphloom.functions.numbers import let
+
 # Words that carry no meaning in a question, and verbs that only support another match.
 STOPWORDS = (
     "a", "an", "and", "are", "as", "at", "be", "by", "do", "does", "for", "from", "how", "i", "in", "is", "it", "its", "my", "of", "on", "or", "that", "the", "this", "to",
@@ -199,13 +201,18 @@ def cvss3(vector: Column) -> Column:
     changed = v.rlike(r"/S:C(?:/|$)")
     pr = F.when(changed, part("PR", _PR_CHANGED)).otherwise(part("PR", _PR))
     iss = 1 - (1 - part("C", _CIA)) * (1 - part("I", _CIA)) * (1 - part("A", _CIA))
-    impact = F.when(changed, 7.52 * (iss - 0.029) - 3.25 * F.pow(iss - 0.02, F.lit(15))).otherwise(6.42 * iss)
     reach = 8.22 * part("AV", _AV) * part("AC", _AC) * pr * part("UI", _UI)
-    raw = F.least(F.when(changed, 1.08 * (impact + reach)).otherwise(impact + reach), F.lit(10.0))
-    i = F.floor(raw * 100000 + 0.5)
-    up = F.when(i % 10000 == 0, i / 100000).otherwise((F.floor(i / 10000) + 1) / 10)
-    known = impact.isNotNull() & reach.isNotNull() & v.rlike(r"^CVSS:3\.[01]/")
-    return F.when(known, F.when(impact <= 0, F.lit(0.0)).otherwise(up))
+
+    def impact(x: Column) -> Column:
+        return F.when(x["changed"], 7.52 * (x["iss"] - 0.029) - 3.25 * F.pow(x["iss"] - 0.02, F.lit(15))).otherwise(6.42 * x["iss"])
+
+    def score(y: Column) -> Column:
+        raw = F.least(F.when(y["changed"], 1.08 * (y["impact"] + y["reach"])).otherwise(y["impact"] + y["reach"]), F.lit(10.0))
+        up = let(F.floor(raw * 100000 + 0.5), lambda i: F.when(i % 10000 == 0, i / 100000).otherwise((F.floor(i / 10000) + 1) / 10))
+        return F.when(y["impact"].isNotNull() & y["reach"].isNotNull() & y["v3"], F.when(y["impact"] <= 0, F.lit(0.0)).otherwise(up))
+
+    base = F.struct(changed.alias("changed"), iss.alias("iss"), reach.alias("reach"), v.rlike(r"^CVSS:3\.[01]/").alias("v3"))
+    return let(base, lambda x: let(F.struct(x["changed"].alias("changed"), impact(x).alias("impact"), x["reach"].alias("reach"), x["v3"].alias("v3")), score))
 
 
 def severity(score: Column) -> Column:
