@@ -4,7 +4,7 @@ Subtree sizes are computed upward, sibling ranges are allocated downward by pref
 ranges (``pre``, ``pre + size``) are nested sets: u is a descendant of v iff
 ``v.pre < u.pre < v.pre + v.size`` under the same root. Both passes double their reach each round (a node knows its
 2^k-th ancestor after k rounds), so the number of rounds is the logarithm of the depth, not the
-depth. Nodes that no round brings to a root hang on a cycle.
+depth. Nodes that the upward pass leaves unprocessed hang on a cycle.
 """
 
 from __future__ import annotations
@@ -33,8 +33,11 @@ def parent_rows(edges: DataFrame, kind: str = "contains") -> DataFrame:
     return e.groupBy("node").agg(F.min_by("parent", F.struct((-at).alias("t"), F.col("parent"))).alias("parent"))
 
 
+BLOCK = 256  # preorder numbers of one block in the search for descendants
+
+
 class Hierarchy:
-    """The doubled ancestor tables of (node, parent) rows and what is read from them.
+    """The passes over (node, parent) rows and what is read from them.
 
     ``pairs`` has one row per child; nodes that only occur as a parent are roots. Null nodes are
     dropped. An empty input gives empty results. A node that is its own parent is a cycle of one.
@@ -45,39 +48,61 @@ class Hierarchy:
         self.scratch = Scratch(self.spark, "hierarchy")
         pairs = pairs.select("node", "parent").where("node is not null")
         self.pairs = self.scratch.keep(pairs, "pairs")
-        self._climb()
+        self._sets: DataFrame | None = None
+        self._upward()
 
-    def _climb(self) -> None:
-        """Rounds k = 0, 1, ...: ``up`` is the 2^k-th ancestor, or null once ``root`` is known.
+    def _upward(self) -> None:
+        """Rounds k = 0, 1, ...: ``up`` is the 2^k-th ancestor, or the root once it is reached, with ``hops`` to it; and ``size``.
 
-        A row leaves the doubling when it knows its root; its ``hops`` is then its depth.
+        S_0 = 1 and S_(k+1)(v) = S_k(v) + the sum of S_k(u) over the u whose 2^k-th ancestor is v: after round k a size counts
+        all descendants fewer than 2^(k+1) steps below. A row that reached its root is processed and leaves the rounds; those left when
+        a round processes none never will be.
         """
         s = self.scratch
         parents = self.pairs.select(F.col("parent").alias("node")).where("node is not null").distinct()
         roots = parents.join(self.pairs.select("node"), "node", "left_anti")
         roots = s.keep(roots.union(self.pairs.where("parent is null").select("node")).distinct(), "roots")
-        # live rows: not yet at a root; a root is reached when the parent is a root
+        # a root is reached when the parent is a root
         live = self.pairs.where("parent is not null").join(
             roots.select(F.col("node").alias("parent"), F.lit(True).alias("is_root")), "parent", "left"
         )
-        live = s.keep(live.select("node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("hops"), F.coalesce("is_root", F.lit(False)).alias("done")), "up0")
-        self.levels = [live]
-        left, k = live.where("not done").count(), 0
-        while left:
-            cur = self.levels[k]
-            # an ancestor that found its root in an earlier round stands in with its root and depth
-            far = self._union([cur, *[x.where("done") for x in self.levels[:k]]]).select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("hops").alias("hops2"), F.col("done").alias("done2"))
-            nxt = cur.where("not done").join(far, "up").select(
-                "node", F.col("up2").alias("up"), (F.col("hops") + F.col("hops2")).alias("hops"), F.col("done2").alias("done")
-            )
-            nxt = s.keep(nxt, f"up{k + 1}")
-            now = nxt.where("not done").count()
-            self.levels.append(nxt)
+        cur = s.keep(live.select("node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("hops"), F.coalesce("is_root", F.lit(False)).alias("done")), "up0")
+        self.rounds, processed = 0, [cur.where("done")]
+        # only sums are kept, a size is 1 where there is none
+        sums = None
+        left, k = cur.where("not done").count(), 0
+        while True:
+            exact = cur.where(F.col("hops") == F.lit(1 << k)).select("node", "up")
+            own = exact.withColumn("size", F.lit(1).cast("long")) if sums is None else exact.join(sums, "node", "left").select("node", "up", F.coalesce("size", F.lit(1)).cast("long").alias("size"))
+            more = own.groupBy(F.col("up").alias("node")).agg(F.sum("size").alias("more"))
+            if sums is None:
+                now = more.select("node", (F.col("more") + 1).alias("size"))
+            else:
+                now = sums.join(more, "node", "full_outer").select("node", (F.coalesce("size", F.lit(1)) + F.coalesce("more", F.lit(0))).alias("size"))
+            sums = s.keep(now, f"size{k + 1}")
+            s.drop(f"size{k}")
+            if not left:
+                break
+            nxt = s.keep(self._step(cur, processed, {"hops": lambda upper, lower: upper + lower}), f"up{k + 1}")
+            stay = nxt.where("not done").count()
             k += 1
-            if now == left:
-                break  # depths have no gaps: a round without a newly rooted node leaves only cycles
-            left = now
-        self.stuck = left > 0
+            if stay == left:
+                cur = nxt
+                break  # depths have no gaps: a round that processes no node leaves only cycles and what hangs below them
+            processed.append(nxt.where("done"))
+            cur, left = nxt, stay
+        self.processed, self.loose, self.stuck, self.rounds = self._union(processed), cur.where("not done").select("node", "up"), left > 0, k
+        self._size = sums
+
+    def _step(self, cur: DataFrame, processed: list[DataFrame], values: dict) -> DataFrame:
+        """One doubling: every row that is not done takes over what its ``up`` knows, whether that is done or not."""
+        names = list(values)
+        # a hot parent is one key of this join; adaptive execution splits it, as each node stands once on the other side
+        far = self._union([cur.select("node", "up", "done", *names), *[x.select("node", "up", "done", *names) for x in processed[:-1]]])
+        far = far.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("done").alias("done2"), *[F.col(n).alias(f"{n}2") for n in names])
+        return cur.where("not done").join(far, "up").select(
+            "node", F.col("up2").alias("up"), *[values[n](F.col(f"{n}2"), F.col(n)).alias(n) for n in names], F.col("done2").alias("done")
+        )
 
     @staticmethod
     def _union(frames: list[DataFrame]) -> DataFrame:
@@ -86,43 +111,26 @@ class Hierarchy:
             out = out.unionByName(f)
         return out
 
-    def _accumulate(self, first: DataFrame, value: str, add, name: str) -> DataFrame:
-        """(node, value) of every rooted node but the roots: ``first`` (node, value) added up over the way to the root.
-
-        ``add(upper, lower)`` joins the values of the upper and the lower part of a way.
-        """
-        s, acc, done = self.scratch, self.scratch.keep(first.select("node", value), f"{name}0"), []
-        for k, level in enumerate(self.levels):
-            both = level.join(acc, "node")
-            done.append(s.keep(both.where("done").select("node", value), f"{name}-done{k}"))
-            if k + 1 == len(self.levels):
-                break
-            far = self._union([acc.join(level.where("not done").select("node"), "node"), *done]).select(
-                F.col("node").alias("up"), F.col(value).alias("upper")
-            )
-            nxt = both.where("not done").join(far, "up").select("node", add(F.col("upper"), F.col(value)).alias(value))
-            acc = s.keep(nxt, f"{name}{k + 1}")
-            s.drop(f"{name}{k}")
-        return self._union(done)
-
     def rooted(self) -> DataFrame:
         """(node, root, depth) of every node that has a root, the roots included at depth 0."""
-        out = self.scratch.spark.read.parquet(self.scratch.path("roots")).select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("depth"))
-        for level in self.levels:
-            out = out.union(level.where("done").select("node", F.col("up").alias("root"), F.col("hops").alias("depth")))
-        return out
+        roots = self.spark.read.parquet(self.scratch.path("roots")).select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("depth"))
+        return roots.union(self.processed.select("node", F.col("up").alias("root"), F.col("hops").alias("depth")))
+
+    def unprocessed(self) -> DataFrame:
+        """(node): the nodes the upward pass never brings to a root: those on cycles and those below them."""
+        return self.loose.select("node")
 
     def cycles(self) -> DataFrame:
         """(node, cycle): the nodes that are their own ancestors, with the smallest node of their loop.
 
-        After enough doublings every unrooted pointer lies on a loop and the pointers cover the loops;
-        the set shrinks at every step until then, so one doubling that keeps its size ends the search.
+        They are among the unprocessed nodes. After enough doublings every pointer left lies on a loop and the pointers cover the
+        loops; the set shrinks at every step until then, so one doubling that keeps its size ends the search.
         """
         empty = self.pairs.select("node", F.col("node").alias("cycle")).limit(0)
         if not self.stuck:
             return empty
         s, k = self.scratch, 0
-        loose = self.levels[-1].where("not done").select("node", "up")
+        loose = self.loose
         size = -1
         while True:
             image = s.keep(loose.select(F.col("up").alias("node")).distinct(), f"image{k}")
@@ -144,53 +152,54 @@ class Hierarchy:
                 return nxt.select("node", F.col("low").alias("cycle"))
             cur, j = nxt.drop("moved"), j + 1
 
-    def sizes(self) -> DataFrame:
-        """(node, size): nodes of the subtree, itself included, for rooted nodes.
-
-        Upward by doubling: S_0 = 1 and S_(k+1)(v) = S_k(v) + the sum of S_k(u) over the u whose 2^k-th
-        ancestor is v. A rooted ``up`` of fewer than 2^k hops has no 2^k-th ancestor and adds nothing,
-        except where its hops are exactly 2^k.
-        """
-        s = self.scratch
-        size = s.keep(self.rooted().select("node", F.lit(1).cast("long").alias("size")), "size0")
-        for k, level in enumerate(self.levels):
-            exact = level.where(F.col("hops") == F.lit(1 << k)).select("node", "up")
-            add = exact.join(size, "node").groupBy(F.col("up").alias("node")).agg(F.sum("size").alias("more"))
-            size = s.keep(size.join(add, "node", "left").select("node", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), f"size{k + 1}")
-            s.drop(f"size{k}")
-        return size
-
     def nested_sets(self) -> DataFrame:
-        """(node, root, parent, depth, pre, size) of every rooted node.
+        """(node, root, parent, depth, pre, size, path) of every rooted node.
 
-        ``pre`` is the preorder number within the tree, siblings in the order of their ids; the root has 0.
-        A node starts one after its parent plus the sizes of its earlier siblings; a prefix sum
-        over chunks of siblings finds that, so a parent with a third of all nodes is no single task.
+        ``pre`` is the preorder number within the tree, siblings in the order of their ids; the root has 0. ``path`` holds the
+        nodes from the root down to the node itself. A node starts one after its parent plus the sizes of its earlier siblings; a
+        prefix sum over chunks of siblings finds that, so a parent with a third of all nodes is no single task. The
+        starts and the paths come down in one pass.
         """
+        if self._sets is not None:
+            return self._sets
         s = self.scratch
-        size = self.sizes()
-        kids = self.pairs.where("parent is not null").join(size, "node")
-        step = running_sum(kids, ["parent"], ["node"], "size", s, "siblings")
-        step = step.select("node", (F.col("_before") + 1).cast("long").alias("pre"))
-        done = self._accumulate(step, "pre", lambda upper, lower: upper + lower, "pre")
-        rooted = self.rooted()
-        return rooted.join(size, "node").join(done, "node", "left").join(self.pairs, "node", "left").select(
-            "node", "root", "parent", "depth", F.coalesce("pre", F.lit(0)).cast("long").alias("pre"), "size"
+        inner = self.processed.select("node", F.col("hops").alias("depth"), F.col("up").alias("root"))
+        kids = inner.join(self.pairs, "node").join(self._size, "node", "left").select("node", "parent", "root", "depth", F.coalesce("size", F.lit(1)).cast("long").alias("size"))
+        step = s.keep(running_sum(kids, ["parent"], ["node"], "size", s, "siblings"), "steps")
+        cur = step.select("node", F.col("parent").alias("up"), (F.col("depth") == 1).alias("done"), (F.col("_before") + 1).cast("long").alias("pre"), F.array("node").alias("path"))
+        cur, done = s.keep(cur, "down0"), []
+        for k in range(self.rounds + 1):
+            done.append(cur.where("done"))
+            if k == self.rounds:
+                break
+            nxt = self._step(cur, done, {"pre": lambda upper, lower: upper + lower, "path": F.concat})
+            cur = s.keep(nxt, f"down{k + 1}")
+        down = self._union(done).select("node", "pre", "path")
+        below = step.select("node", "root", "parent", "depth", "size").join(down, "node").select(
+            "node", "root", "parent", "depth", "pre", "size", F.concat(F.array("root"), "path").alias("path")
+        )
+        roots = self.spark.read.parquet(s.path("roots")).join(self._size, "node", "left")
+        top = roots.select(
+            "node", F.col("node").alias("root"), F.lit(None).cast(self.pairs.schema["parent"].dataType).alias("parent"), F.lit(0).cast("long").alias("depth"),
+            F.lit(0).cast("long").alias("pre"), F.coalesce("size", F.lit(1)).cast("long").alias("size"), F.array("node").alias("path"),
         )
+        self._sets = s.keep(below.unionByName(top), "sets")
+        return self._sets
 
-    def paths(self, name: DataFrame | None = None) -> DataFrame:
+    def paths(self) -> DataFrame:
         """(node, path): the nodes from the root down to the node itself, as an array, for rooted nodes."""
-        tails = self._accumulate(self.pairs.select("node", F.array("node").alias("path")), "path", F.concat, "tail")
-        tails = tails.join(self.rooted().where("depth > 0").select("node", "root"), "node")
-        roots = self.spark.read.parquet(self.scratch.path("roots"))
-        return roots.select("node", F.array("node").alias("path")).union(tails.select("node", F.concat(F.array("root"), "path").alias("path")))
+        return self.nested_sets().select("node", "path")
 
     def descendants(self, of: DataFrame) -> DataFrame:
-        """(node, descendant) for the stated nodes ``of`` (column ``node``), by range within the root."""
-        sets = self.scratch.keep(self.nested_sets(), "sets")
-        top = sets.join(of.select("node").distinct(), "node", "left_semi").select(
-            F.col("node").alias("a"), F.col("root").alias("r"), F.col("pre").alias("lo"), (F.col("pre") + F.col("size")).alias("hi")
-        )
-        return sets.join(top, (F.col("root") == F.col("r")) & (F.col("pre") > F.col("lo")) & (F.col("pre") < F.col("hi"))).select(
-            F.col("a").alias("node"), F.col("node").alias("descendant")
+        """(node, descendant) for the stated nodes ``of`` (column ``node``), by nested-set ranges within the root.
+
+        Preorder numbers are cut into blocks; a range meets the blocks it covers, so a tree that holds all nodes is as many
+        keys as it has blocks.
+        """
+        sets = self.nested_sets().select("node", "root", "pre", "size")
+        top = sets.where("size > 1").join(of.select("node").distinct(), "node", "left_semi").select(
+            F.col("node").alias("a"), "root", F.col("pre").alias("lo"), (F.col("pre") + F.col("size")).alias("hi"),
+            F.explode(F.expr(f"sequence((pre + 1) div {BLOCK}, (pre + size - 1) div {BLOCK})")).alias("block"),
         )
+        low = sets.select(F.col("node").alias("descendant"), "root", "pre", F.expr(f"pre div {BLOCK}").alias("block"))
+        return low.join(top, ["root", "block"]).where("pre > lo and pre < hi").select(F.col("a").alias("node"), "descendant")

@@ -33,14 +33,31 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Root, parent, depth, preorder number, number of descendants and path of every node that has a root."""
+    """Root, parent, depth, preorder number, number of descendants and path of every node of the tables.
+
+    A node without a parent or child is its own root. Nodes on a loop or below one have no root: all but their parent is null.
+    """
     tree = Hierarchy(parent_rows(table(spark, sf_dir, "edges")))
-    sets = tree.nested_sets().join(tree.paths(), "node")
+    sets = tree.nested_sets()
     path = F.array_join(F.transform("path", unpack), "/")
-    return sets.select(
+    out = sets.select(
         unpack("node").alias("node_id"), unpack("root").alias("root_id"), unpack("parent").alias("parent_id"), "depth", "pre",
         (F.col("size") - 1).alias("n_descendants"), path.alias("path"),
     )
+    none, no_id = F.lit(None).cast("long"), F.lit(None).cast("string")
+    lost = tree.unprocessed().join(tree.pairs, "node").select(unpack("node").alias("node_id"), no_id.alias("root_id"), unpack("parent").alias("parent_id"), none.alias("depth"), none.alias("pre"), none.alias("n_descendants"), no_id.alias("path"))
+    ids = table(spark, sf_dir, "nodes").select(clean_or_null("node_id").alias("node_id")).where("node_id is not null").distinct()
+    zero = F.lit(0).cast("long")
+    alone = ids.join(sets.select(unpack("node").alias("node_id")).union(lost.select("node_id")), "node_id", "left_anti")
+    alone = alone.select("node_id", F.col("node_id").alias("root_id"), no_id.alias("parent_id"), zero.alias("depth"), zero.alias("pre"), zero.alias("n_descendants"), F.col("node_id").alias("path"))
+    return out.unionByName(lost).unionByName(alone)
+
+
+def p4_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node that has a root with each of its descendants, from the nested-set ranges."""
+    tree = Hierarchy(parent_rows(table(spark, sf_dir, "edges")))
+    d = tree.descendants(tree.nested_sets().select("node"))
+    return d.select(unpack("node").alias("node_id"), unpack("descendant").alias("descendant_id"))
 
 
 _CLEAN = "lower(regexp_replace({0}, '^\\s+|\\s+$', '', 'g'))"
@@ -56,7 +73,7 @@ _PARENTS = f"""par AS (
     WHERE {_c('kind')} = 'contains' AND {_c('dst')} <> '' AND {_c('src')} <> '' GROUP BY 1, 2
   ) GROUP BY node)"""
 
-QUERIES = {"p3_found": p3_found, "p3_profile": p3_profile, "p4_found": p4_found, "p4_tree": p4_tree}
+QUERIES = {"p3_found": p3_found, "p3_profile": p3_profile, "p4_found": p4_found, "p4_tree": p4_tree, "p4_descendants": p4_descendants}
 
 ORACLE = {
     "p3_found": f"""
@@ -85,8 +102,17 @@ t AS (
 up AS (
   SELECT node AS d, parent AS a FROM t WHERE parent IS NOT NULL
   UNION ALL SELECT up.d, par.parent FROM up JOIN par ON par.node = up.a),
-n AS (SELECT a AS node, count(*) AS n FROM up GROUP BY a)
-SELECT t.node AS node_id, root AS root_id, parent AS parent_id, CAST(depth AS BIGINT) AS depth,
+n AS (SELECT a AS node, count(*) AS n FROM up GROUP BY a),
+l AS (SELECT node, parent FROM par WHERE node NOT IN (SELECT node FROM t))
+SELECT node AS node_id, NULL AS root_id, parent AS parent_id, NULL AS depth, NULL AS pre, NULL AS n_descendants, NULL AS path FROM l
+UNION ALL SELECT DISTINCT {_c('node_id')}, {_c('node_id')}, NULL, 0, 0, 0, {_c('node_id')} FROM nodes WHERE {_c('node_id')} <> '' AND {_c('node_id')} NOT IN (SELECT node FROM t) AND {_c('node_id')} NOT IN (SELECT node FROM l)
+UNION ALL SELECT t.node AS node_id, root AS root_id, parent AS parent_id, CAST(depth AS BIGINT) AS depth,
   row_number() OVER (PARTITION BY root ORDER BY path) - 1 AS pre, coalesce(n.n, 0) AS n_descendants, path
 FROM t LEFT JOIN n USING (node)""",
+    "p4_descendants": f"""
+WITH RECURSIVE {_PARENTS},
+roots AS (SELECT DISTINCT parent AS node FROM par WHERE parent NOT IN (SELECT node FROM par)),
+t AS (SELECT node, CAST(NULL AS VARCHAR) AS parent FROM roots UNION ALL SELECT par.node, par.parent FROM t JOIN par ON par.parent = t.node),
+up AS (SELECT node AS d, parent AS a FROM t WHERE parent IS NOT NULL UNION ALL SELECT up.d, par.parent FROM up JOIN par ON par.node = up.a)
+SELECT a AS node_id, d AS descendant_id FROM up""",
 }
