@@ -216,6 +216,7 @@ def path_says(path: str) -> str:
     return ""
 
 
+@lru_cache(200_000)
 def style(name: str) -> str:
     if "_" in name.strip("_") and name.islower():
         return "snake"

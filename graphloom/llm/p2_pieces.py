@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions.numbers import let
+from graphloom.functions.paths import clean_path
 from graphloom.sources.tables import table
 
 LIMIT = 8192
@@ -28,42 +30,53 @@ def piece_pattern(limit: int, least: int) -> str:
     return "(?s)(?:" + "|".join(parts) + "|.{1,%d}(?![\\u0080-\\u00BF])|.{1,%d})" % (limit, limit)
 
 
+_RUN = 64
+
+
+def _starts(lengths: Column) -> Column:
+    """The sum of the lengths before each one. Runs of _RUN are summed apart from each other, then the runs before them: the
+    longest string Spark holds (2 GiB) has about 2^18 cuts, so this is at most some ten million additions, not their square."""
+    runs = F.transform(F.sequence(F.lit(0), F.ceil(F.size(lengths) / _RUN).cast("int") - 1), lambda r: F.slice(lengths, r * _RUN + 1, _RUN))
+
+    def total(x: Column) -> Column:
+        return F.aggregate(x, F.lit(0), lambda a, y: a + y)
+
+    def inside(runs: Column, sums: Column) -> Column:
+        return F.flatten(F.transform(runs, lambda run, i: F.transform(run, lambda _, j: total(F.slice(sums, F.lit(1), i)) + total(F.slice(run, F.lit(1), j)))))
+
+    return let(F.struct(runs.alias("r"), F.transform(runs, total).alias("s")), lambda x: inside(x["r"], x["s"]))
+
+
 def pieces_of(body: Column, limit: int, overlap: int) -> Column:
     """array<struct<nr, start_byte, n_bytes, overlap_bytes, text>> of a text; see ``split_pieces``."""
-    core = limit - overlap
     as_bytes = F.decode(F.encode(body, "UTF-8"), "ISO-8859-1")
-    cut = F.regexp_extract_all(as_bytes, F.lit(piece_pattern(core, core // 2)), F.lit(0))
-    # running ends of the cuts, then each piece looks back over the overlap, but not into a character
-    ends = F.aggregate(
-        cut, F.array().cast("array<int>"),
-        lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(x))),
-    )
+    # the first cut looks back on nothing and so may be as long as the limit; all others leave room for the overlap
+    first = F.regexp_extract(as_bytes, piece_pattern(limit, limit // 2), 0)
 
-    def piece(text: Column, stops: Column) -> Column:
-        def one(end: Column, i: Column) -> Column:
-            start = F.when(i == 0, F.lit(0)).otherwise(F.element_at(stops, i))
-            back = F.when(i == 0, F.lit(0)).otherwise(F.least(F.lit(overlap), start))
-            # up to three continuation bytes are left off at the front
-            head = F.substring(text, start - back + 1, F.lit(3))
-            skip = F.length(F.regexp_extract(head, r"^[\u0080-\u00BF]*", 0))
-            back = F.when(i == 0, F.lit(0)).otherwise(back - skip)
-            return F.struct(
-                i.alias("nr"), (start - back).alias("start_byte"), (end - start + back).alias("n_bytes"), back.alias("overlap_bytes"),
-                F.decode(F.encode(F.substring(text, start - back + 1, end - start + back), "ISO-8859-1"), "UTF-8").alias("text"),
-            )
+    def rest(head: Column) -> Column:
+        core = limit - overlap
+        return F.regexp_extract_all(F.substring(as_bytes, F.length(head) + 1, F.length(as_bytes)), F.lit(piece_pattern(core, core // 2)), F.lit(0))
 
-        return F.transform(stops, one)
+    def piece(cut: Column, starts: Column) -> Column:
+        def one(text: Column, i: Column) -> Column:
+            # the bytes before, of which up to three continuation bytes are left off at the front
+            before = F.when(i == 0, F.lit("")).otherwise(F.regexp_replace(F.right(F.get(cut, F.greatest(i - 1, F.lit(0))), F.lit(overlap)), r"^[\u0080-\u00BF]{1,3}", ""))
+            return let(F.struct(before.alias("b"), text.alias("t")), lambda x: F.struct(
+                i.alias("nr"), (F.get(starts, i) - F.length(x["b"])).alias("start_byte"), (F.length(x["b"]) + F.length(x["t"])).alias("n_bytes"), F.length(x["b"]).alias("overlap_bytes"),
+                F.decode(F.encode(F.concat(x["b"], x["t"]), "ISO-8859-1"), "UTF-8").alias("text"),
+            ))
 
-    # bound once each: a one-element array carries the text and its stops into the lambda
-    bound = F.transform(F.array(F.struct(as_bytes.alias("t"), ends.alias("e"))), lambda x: piece(x["t"], x["e"]))
-    return F.element_at(bound, 1)
+        return F.transform(cut, one)
+
+    cuts = let(first, lambda head: F.concat(F.array(head), rest(head)))
+    return let(cuts, lambda c: let(F.struct(c.alias("c"), _starts(F.transform(c, F.length)).alias("s")), lambda x: piece(x["c"], x["s"])))
 
 
 def split_pieces(docs: DataFrame, text: str = "body", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """All columns but the text, with one row per piece: nr, start_byte, n_bytes, overlap_bytes, piece, n_pieces.
 
     Every piece has at most ``limit`` bytes in UTF-8. Without their overlaps the pieces are the text. A text within the limit is one
-    piece; null and empty texts give no row. The overlap is ``overlap`` bytes, up to three fewer where it would start within a character.
+    piece; null and empty texts give no row. The first piece has no overlap and may be as long as the limit. The overlap of others is ``overlap`` bytes, up to three fewer where it would start within a character.
     Columns called like the new ones are replaced.
     """
     if not 0 <= overlap < limit // 2:
@@ -77,16 +90,6 @@ def split_pieces(docs: DataFrame, text: str = "body", limit: int = LIMIT, overla
     return docs.select(*keep, "n_pieces", "_p.nr", "_p.start_byte", "_p.n_bytes", "_p.overlap_bytes", F.col("_p.text").alias("piece"))
 
 
-def clean_path(path: Column) -> Column:
-    """A relative path with ``/``: trimmed, backslashes turned, ``./``, doubled and leading slashes and the checkout's root removed."""
-    p = F.regexp_replace(F.regexp_replace(path, r"(?U)^\s+|\s+$", ""), r"\\", "/")
-    p = F.regexp_replace(p, r"^/srv/checkouts/[^/]+/", "")
-    p = F.regexp_replace(p, r"^file://", "")
-    p = F.regexp_replace(p, r"/(?:\./)+", "/")
-    p = F.regexp_replace(p, r"/{2,}", "/")
-    return F.regexp_replace(p, r"^(?:\./|/)+", "")
-
-
 def entry_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(lib_id, repository_id, doc_file, body) of every entry that has a doc; repeated entries fold."""
     e = table(spark, sf_dir, "lib_entries").select("lib_id", "repository_id", clean_path(F.col("doc_file")).alias("doc_file")).where("lib_id is not null").distinct()
@@ -103,10 +106,32 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_pieces(entry_docs(spark, sf_dir)).select("lib_id", "repository_id", "nr", "n_pieces", "start_byte", "n_bytes", "overlap_bytes", F.xxhash64("piece").alias("hash"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces}
+def p2_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces of all docs with their texts."""
+    return split_pieces(entry_docs(spark, sf_dir)).select("lib_id", "repository_id", "nr", "n_pieces", "piece")
+
+
+def p2_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per entry and doc: the bytes the pieces cover without their overlaps, whether all are within the limit, whether every later piece of
+    a cut doc has its overlap, and the hash of the pieces put together again without their overlaps."""
+    p = split_pieces(entry_docs(spark, sf_dir))
+    raw = F.encode("piece", "UTF-8")
+    tail = F.substring(raw, F.col("overlap_bytes") + 1, F.col("n_bytes"))
+    # a doc is one text, so its pieces are bounded by what one string holds
+    return p.groupBy("lib_id", "repository_id", "doc_file").agg(
+        F.sum(F.col("n_bytes") - F.col("overlap_bytes")).alias("covered"), (F.max("n_bytes") <= LIMIT).alias("within_limit"),
+        F.bool_and((F.col("nr") == 0) | (F.col("overlap_bytes") >= OVERLAP - 3)).alias("overlapped"),
+        F.md5(F.aggregate(F.array_sort(F.collect_list(F.struct("nr", tail.alias("b")))), F.lit(b""), lambda a, x: F.concat(a, x["b"]))).alias("joined"),
+    )
+
+
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p2_texts": p2_texts, "p2_cover": p2_cover}
 _PATH = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(trim(doc_file, E' \\t\\n\\r'), '\\', '/'), '^/srv/checkouts/[^/]+/', ''), '/(?:\\./)+', '/', 'g'), '/{2,}', '/', 'g'), '^(?:\\./|/)+', '')"
 ORACLE = {
     "p2_found": f"""
 SELECT DISTINCT e.lib_id FROM (SELECT DISTINCT lib_id, repository_id, {_PATH} AS doc_file FROM lib_entries) e
-JOIN lib_docs d USING (repository_id, doc_file) WHERE octet_length(encode(d.body)) > {LIMIT}"""
+JOIN lib_docs d USING (repository_id, doc_file) WHERE octet_length(encode(d.body)) > {LIMIT}""",
+    "p2_cover": f"""
+SELECT e.lib_id, repository_id, doc_file, octet_length(encode(d.body)) AS covered, true AS within_limit, true AS overlapped, md5(d.body) AS joined
+FROM (SELECT DISTINCT lib_id, repository_id, {_PATH} AS doc_file FROM lib_entries WHERE lib_id IS NOT NULL) e JOIN lib_docs d USING (repository_id, doc_file) WHERE length(d.body) > 0""",
 }

@@ -104,6 +104,26 @@ def p7_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p7_found": p7_found, "p7_bins": p7_bins}
+def p7_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which text, or piece of one, lies where in which container."""
+    return pack(sized(spark, sf_dir))
+
+
+def p7_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts and tokens that were placed, whether no container is over its capacity and no two pieces overlap, and whether at
+    most a hundredth of the room is left over (or one container a group)."""
+    p = pack(sized(spark, sf_dir))
+    per = p.groupBy("grp", "bin").agg(F.sum("size").alias("used"), F.max(F.col("at") + F.col("size")).alias("end"), F.count_if(F.col("piece") == 0).alias("texts"))
+    n, used = F.count(F.lit(1)), F.sum("used")
+    return per.agg(
+        F.sum("texts").alias("n_texts"), used.alias("tokens"), (F.max("used") <= CAPACITY).alias("within_capacity"), (F.bool_and(F.col("end") == F.col("used"))).alias("without_gaps"),
+        ((n - F.countDistinct("grp")) * CAPACITY * 0.99 <= used).alias("well_filled"),
+    )
+
+
+QUERIES = {"p7_found": p7_found, "p7_bins": p7_bins, "p7_places": p7_places, "p7_totals": p7_totals}
 _SIZE = "CASE WHEN text IS NULL OR regexp_matches(text, '^[\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]*$') THEN 0 ELSE octet_length(encode(text)) + 1 END"
-ORACLE = {"p7_found": f"SELECT doc_id FROM documents WHERE {_SIZE} > {CAPACITY}"}
+ORACLE = {
+    "p7_found": f"SELECT DISTINCT doc_id FROM documents WHERE {_SIZE} > {CAPACITY}",
+    "p7_totals": f"SELECT count(*) AS n_texts, CAST(sum({_SIZE}) AS BIGINT) AS tokens, true AS within_capacity, true AS without_gaps, true AS well_filled FROM documents",
+}

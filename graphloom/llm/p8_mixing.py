@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.p7_packing import _SIZE
 from graphloom.llm.tokens import byte_tokens
+from graphloom.operators.skew import running_sum
 from graphloom.sources.tables import Scratch, table
 
 BLOCK_TOKENS = 1 << 20
 
 
-def tempered(natural: dict[str, float], target: dict[str, float], exponent: float) -> dict[str, float]:
-    """natural^(1 - exponent) x target^exponent, normalised: 0 keeps the natural shares, 1 gives the target."""
-    w = {s: (natural[s] ** (1 - exponent)) * (target[s] ** exponent) if natural[s] > 0 and target[s] > 0 else 0.0 for s in target}
+def tempered(shares: dict[str, float], exponent: float) -> dict[str, float]:
+    """shares^exponent, normalised: 1 keeps the shares, 0 makes all sources with tokens equal. Sources without tokens get 0."""
+    w = {s: v**exponent if v > 0 else 0.0 for s, v in shares.items()}
     total = sum(w.values())
     return {s: v / total for s, v in w.items()} if total else w
 
@@ -25,53 +27,68 @@ def entropy(w: dict[str, float]) -> float:
     return -sum(v * math.log(v) for v in w.values() if v > 0)
 
 
-def bisect_exponent(natural: dict[str, float], target: dict[str, float], fits, steps: int = 60) -> float:
-    """The greatest exponent in [0, 1] whose tempered weights fit; ``fits`` holds on an interval from 0."""
-    if fits(tempered(natural, target, 1.0)):
+def bisect(fits, steps: int = 80) -> float:
+    """The greatest exponent in [0, 1] that fits; ``fits`` holds on an interval from 0, or nowhere (then 0)."""
+    if fits(1.0):
         return 1.0
     lo, hi = 0.0, 1.0
     for _ in range(steps):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if fits(tempered(natural, target, mid)) else (lo, mid)
+        lo, hi = (mid, hi) if fits(mid) else (lo, mid)
     return lo
 
 
-def weights(sizes: dict[str, int], shares: dict[str, float], repeats: dict[str, int], budget: int, min_entropy: float | None = None):
-    """(tokens to draw per source, sources that cannot reach their share, exponents of the rounds).
+def weights(sizes: dict[str, int], shares: dict[str, float], repeats: dict[str, int], budget: int) -> tuple[dict[str, float], dict[str, float]]:
+    """(tokens to draw per source, exponent per source).
 
-    The target shares are shares of the budget. A source holds at most size x repeats tokens. While the tempered weights break a
-    limit, the exponent is bisected down to where the first source meets its limit; the sources that
-    break theirs at exponent 1 are held at it and the rest of the budget is mixed anew among the others, in the
-    ratio of their targets. With ``min_entropy`` the exponent is also lowered until the weights have it.
+    A source's draw lies on the way from its own tokens n to its target tokens t = share x budget: n x (t / n)^e. Exponent 1
+    gives the target, 0 one pass over the source. The exponent is bisected to the greatest that the repetition limit
+    n x max_repeats allows, for each source by itself, so that a source that falls short takes nothing from those that don't.
     """
-    cap = {s: sizes.get(s, 0) * repeats[s] for s in shares}
-    short = {s for s in shares if cap[s] < shares[s] * budget}
-    held: dict[str, float] = {}
-    exponents: list[float] = []
-    while True:
-        free = [s for s in shares if s not in held and cap[s] > 0 and shares[s] > 0]
-        left = budget - sum(held.values())
-        if not free or left <= 0:
-            break
-        total = sum(sizes[s] for s in free)
-        natural = {s: sizes[s] / total for s in free}
-        goal = sum(shares[s] for s in free)
-        target = {s: shares[s] / goal for s in free}
-        # the free sources together never draw more than their shares of the whole budget
-        mass = min(left, goal * budget)
-
-        def fits(w: dict[str, float]) -> bool:
-            return all(w[s] * mass <= cap[s] * (1 + 1e-12) for s in free) and (min_entropy is None or entropy(w) >= min_entropy)
-
-        e = bisect_exponent(natural, target, fits)
-        exponents.append(e)
-        at_target = tempered(natural, target, 1.0)
-        over = [s for s in free if at_target[s] * mass > cap[s] * (1 + 1e-12)]
-        if e == 1.0 or not over or min_entropy is not None:
-            w = tempered(natural, target, e)
-            return held | {s: w[s] * mass for s in free}, short, exponents
-        held |= {s: float(cap[s]) for s in over}
-    return held, short, exponents
+    tokens: dict[str, float] = {}
+    exponents: dict[str, float] = {}
+    for s, share in shares.items():
+        n, goal, cap = sizes.get(s, 0), share * budget, sizes.get(s, 0) * repeats[s]
+
+        def draw(e: float) -> float:
+            return goal if e == 1.0 else n * (goal / n) ** e if n and goal > 0 else 0.0
+
+        e = bisect(lambda x: draw(x) <= cap) if n and cap and goal > 0 else float(cap >= goal)
+        # tokens are whole: what the bisection leaves below the limit is none
+        exponents[s], tokens[s] = e, float(cap) if e < 1.0 and cap - draw(e) < 0.5 else min(draw(e), float(cap))
+    return tokens, exponents
+
+
+def temperature(sizes: dict[str, int], repeats: dict[str, int], budget: int, target_entropy: float) -> tuple[dict[str, float], float]:
+    """(weights, exponent): source token shares to the greatest exponent at which they have the target entropy at least.
+
+    Where the repetition limits forbid weights that even, the exponent goes up to the smallest one they allow: a source may
+    get at most size x max_repeats of the budget.
+    """
+    total = sum(sizes.values())
+    natural = {s: n / total if total else 0.0 for s, n in sizes.items()}
+    by_entropy = bisect(lambda e: entropy(tempered(natural, e)) >= target_entropy)
+
+    def allowed(e: float) -> bool:
+        w = tempered(natural, e)
+        return all(w[s] * budget <= sizes[s] * repeats[s] * (1 + 1e-12) for s in sizes if sizes[s])
+
+    # 1 - e: the limits hold on an interval that ends at the natural shares
+    by_limit = 1.0 - bisect(lambda d: allowed(1.0 - d))
+    e = max(by_entropy, by_limit)
+    return tempered(natural, e), e
+
+
+def _fill(block: pd.DataFrame) -> pd.DataFrame:
+    """The texts of a source's one block at the edge of its budget, in the order of their hashes, each that still fits."""
+    block = block.sort_values(["h", "doc_id"], kind="stable")
+    room = float(block["rest"].iloc[0]) - int(block["from"].iloc[0])
+    take = []
+    for size in block["size"]:
+        fits = size <= room
+        room -= size if fits else 0
+        take.append(fits)
+    return block[take]
 
 
 class Mix:
@@ -96,14 +113,16 @@ class Mix:
         self.sizes = {r["source"]: known.get(r["source"]) or 0 for r in rows}
         self.shares = {r["source"]: r["share"] for r in rows}
         self.repeats = {r["source"]: r["reps"] for r in rows}
-        self.tokens, self.short, self.exponents = weights(self.sizes, self.shares, self.repeats, self.total)
+        self.tokens, self.exponents = weights(self.sizes, self.shares, self.repeats, self.total)
+        # what the bisection could not bring to its target
+        self.short = {s for s, e in self.exponents.items() if e < 1.0}
 
     def draws(self) -> DataFrame:
         """(doc_id, source, pass, size) of every drawn text.
 
         Each pass over a source is a permutation of its own, by hash. Whole passes are taken whole; of the last
         pass, blocks of about BLOCK_TOKENS are taken in the permutation's order while they fit the
-        budget, and of the block that crosses it, texts in order while they fit. No task sorts a source.
+        budget, and of the one block that crosses it, texts in order, each that still fits. No task sorts a source.
         """
         spark = self.docs.sparkSession
         plan = [(s, int(t // self.sizes[s]), float(t - (t // self.sizes[s]) * self.sizes[s]), max(1, self.sizes[s] // BLOCK_TOKENS)) for s, t in self.tokens.items() if self.sizes[s]]
@@ -114,21 +133,21 @@ class Mix:
         last = d.where("rest > 0").withColumn("h", h).withColumn("block", F.pmod(F.shiftright("h", 8), F.col("blocks")))
         last = self.scratch.keep(last.select("doc_id", "source", F.col("full").alias("pass"), "size", "rest", "h", "block"), "last")
         per = last.groupBy("source", "block").agg(F.sum("size").alias("n"), F.first("rest").alias("rest"))
-        w = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        per = per.withColumn("till", F.sum("n").over(w)).select("source", "block", (F.col("till") - F.col("n")).alias("from"), "till")
+        # a source has as many blocks as it has mebitokens, so the sum runs over chunks of blocks, not over a source in one task
+        per = running_sum(per, ["source"], ["block"], "n", self.scratch, "blocks")
+        per = per.select("source", "block", F.col("_before").alias("from"), (F.col("_before") + F.col("n")).alias("till"))
         last = last.join(per, ["source", "block"])
         inside = last.where("till <= rest")
         edge = last.where("from < rest and till > rest")
-        v = Window.partitionBy("source", "block").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        edge = edge.withColumn("sum", F.col("from") + F.sum("size").over(v)).where("sum <= rest").drop("sum")
+        edge = edge.groupBy("source").applyInPandas(_fill, edge.schema)
         return whole.union(inside.union(edge).select("doc_id", "source", "pass", "size"))
 
     def report(self) -> DataFrame:
         """Per target source: its share, what it can give at most, what was drawn, and the share reached."""
         spark = self.docs.sparkSession
         drawn = self.draws().groupBy("source").agg(F.sum("size").alias("drawn"), (F.max("pass") + 1).alias("passes"))
-        facts = [(s, self.shares[s], self.repeats[s], self.sizes[s], self.sizes[s] * self.repeats[s], s in self.short) for s in self.shares]
-        facts_df = spark.createDataFrame(facts, "source string, target_share double, max_repeats int, size long, can_give long, falls_short boolean")
+        facts = [(s, self.shares[s], self.repeats[s], self.sizes[s], self.sizes[s] * self.repeats[s], s in self.short, self.exponents[s]) for s in self.shares]
+        facts_df = spark.createDataFrame(facts, "source string, target_share double, max_repeats int, size long, can_give long, falls_short boolean, exponent double")
         drawn = self.scratch.keep(drawn, "drawn")
         total = drawn.agg(F.coalesce(F.sum("drawn"), F.lit(0)).alias("n")).first()["n"]
         out = facts_df.join(drawn, "source", "left").fillna(0, ["drawn", "passes"])
@@ -150,7 +169,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mix's report."""
+    """Per target source: what was drawn over all passes, the passes, and its share of all that was drawn."""
     return mix(spark, sf_dir).report()
 
 
@@ -159,11 +178,37 @@ def p8_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark, sf_dir).draws()
 
 
-QUERIES = {"p8_found": p8_found, "p8_shares": p8_shares, "p8_draws": p8_draws}
+def p8_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per target source whether the draws keep what they promise: no text too often, no source above its target, and none that can
+    reach it further below than the texts of one block's end are long."""
+    m = mix(spark, sf_dir)
+    per = m.draws().groupBy("source", "doc_id", "size").agg(F.count(F.lit(1)).alias("times"))
+    # a doc_id that stands in the table twice may be drawn twice a pass
+    own = m.docs.groupBy("source", "doc_id", "size").agg(F.count(F.lit(1)).alias("rows"))
+    got = per.join(own, ["source", "doc_id", "size"]).groupBy("source").agg(F.sum(F.col("times") * F.col("size")).alias("drawn"), F.max(F.ceil(F.col("times") / F.col("rows"))).alias("most"))
+    got = m.docs.groupBy("source").agg(F.max("size").alias("longest")).join(got, "source", "left")
+    facts = spark.createDataFrame([(s, m.repeats[s], m.shares[s] * m.total, s in m.short, float(m.sizes[s] * m.repeats[s])) for s in m.shares], "source string, reps int, goal double, short boolean, cap double")
+    x = facts.join(got, "source", "left").fillna(0, ["drawn", "most", "longest"])
+    near = F.col("drawn") + F.col("longest") >= F.least("goal", "cap")
+    return x.select("source", (F.col("most") <= F.col("reps")).alias("repeats_kept"), (F.col("drawn") <= F.least("goal", "cap") + 0.5).alias("within_target"), near.alias("target_met"))
+
+
+def p8_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix without targets: weights from the sources' own shares, as even as the targets are by entropy, within the limits."""
+    m = mix(spark, sf_dir)
+    goal = {s: v / sum(m.shares.values()) for s, v in m.shares.items()} if sum(m.shares.values()) else m.shares
+    w, e = temperature(m.sizes, m.repeats, sum(m.sizes.values()), entropy(goal))
+    total = max(1, sum(m.sizes.values()))
+    return spark.createDataFrame([(s, m.sizes[s] / total, w[s], e) for s in m.shares], "source string, natural_share double, weight double, exponent double")
+
+
+QUERIES = {"p8_found": p8_found, "p8_shares": p8_shares, "p8_draws": p8_draws, "p8_limits": p8_limits, "p8_temperature": p8_temperature}
 ORACLE = {
     "p8_found": f"""
 WITH d AS (SELECT lower(trim(source)) AS source, {_SIZE} AS size FROM documents),
 s AS (SELECT source, sum(size) AS n FROM d GROUP BY source)
 SELECT m.source FROM mix_targets m LEFT JOIN s ON s.source = lower(trim(m.source))
-WHERE coalesce(s.n, 0) * m.max_repeats < m.target_share * (SELECT sum(size) FROM d)"""
-}
+WHERE coalesce(s.n, 0) * m.max_repeats < m.target_share * (SELECT sum(size) FROM d)""",
+    # the draws are random, what must hold of them is not
+    "p8_limits": "SELECT DISTINCT lower(trim(source)) AS source, true AS repeats_kept, true AS within_target, true AS target_met FROM mix_targets",
+}
\ No newline at end of file

@@ -16,6 +16,7 @@ import sys
 
 MEMO_MAX = 200_000
 MEMO_LEN = 400
+FRAMES = 60  # calls that a token can nest
 
 
 class Fail(Exception):
@@ -107,11 +108,11 @@ class Parser:
                         self._match[stack.pop()] = j
         return self._match.get(i, -1)
 
-    def attempt(self, rule, *args) -> bool:
+    def attempt(self, rule) -> bool:
         """Runs a rule; goes back to where it was when the rule fails."""
         i = self.i
         try:
-            rule(*args)
+            rule()  # called without unpacking, as only such calls nest on the heap
             return True
         except Fail:
             self.i = i
@@ -140,45 +141,45 @@ class Parser:
     # -- statements with recovery and memory
     def items(self, rule, what: str, end: frozenset[str]) -> None:
         """Statements until a kind in ``end``; errors are stored and the next statement is tried."""
-        self.depth += 1
-        if self.depth > 180:
-            self.depth -= 1
-            self.fail("nested too deeply")
-        K, memo = self.K, self.memo
+        self.depth += 1  # a language may ask whether it is at the top
         try:
-            while K[self.i] not in end:
-                i = self.i
-                if K[i] == "eof":
-                    return
-                j = self.chunk_end(i)
-                key = (what, *K[i:j]) if 0 < j - i <= MEMO_LEN else None
-                if key is not None and self.BREAKS:
-                    # the chunk starts a line, as does what follows it
-                    key = (*key, *(n for n in range(1, j - i) if self.NL[i + n]))
-                if key is not None and key in memo:
-                    self.i = j
-                    continue
-                before = len(self.errors)
-                try:
-                    while True:
-                        s = self.i
-                        rule()
-                        if self.i == s:
-                            self.fail(f"unexpected {K[s]}")
-                        if key is None or self.i >= j or K[self.i] in end:
-                            break
-                    if key is not None and self.i == j and len(self.errors) == before:
-                        if len(memo) >= MEMO_MAX:
-                            memo.clear()
-                        memo[key] = True
-                except Fail as e:
-                    self.errors.append((e.at, e.cause))
-                    self.recover(max(i, e.at), end)
-                    if self.i == i:
-                        self.i += 1
+            self._items(rule, what, end)
         finally:
             self.depth -= 1
 
+    def _items(self, rule, what: str, end: frozenset[str]) -> None:
+        K, memo = self.K, self.memo
+        while K[self.i] not in end:
+            i = self.i
+            if K[i] == "eof":
+                return
+            j = self.chunk_end(i)
+            key = (what, *K[i:j]) if 0 < j - i <= MEMO_LEN else None
+            if key is not None and self.BREAKS:
+                # the chunk starts a line, as does what follows it
+                key = (*key, *(n for n in range(1, j - i) if self.NL[i + n]))
+            if key is not None and key in memo:
+                self.i = j
+                continue
+            before = len(self.errors)
+            try:
+                while True:
+                    s = self.i
+                    rule()
+                    if self.i == s:
+                        self.fail(f"unexpected {K[s]}")
+                    if key is None or self.i >= j or K[self.i] in end:
+                        break
+                if key is not None and self.i == j and len(self.errors) == before:
+                    if len(memo) >= MEMO_MAX:
+                        memo.clear()
+                    memo[key] = True
+            except Fail as e:
+                self.errors.append((e.at, e.cause))
+                self.recover(max(i, e.at), end)
+                if self.i == i:
+                    self.i += 1
+
     def chunk_end(self, i: int) -> int:
         """The token behind this line and the deeper or continuing lines below it, or -1 when ``i`` starts no line."""
         n = self.line_of.get(i)
@@ -215,14 +216,14 @@ class Parser:
 
     def run(self) -> list[tuple[int, str]]:
         """All errors as (offset, cause), in the order of the text."""
+        # each token opens at most a fixed number of rules, so the depth a file can need follows from its length; the
+        # interpreter keeps the frames of these calls on the heap
         limit = sys.getrecursionlimit()
-        sys.setrecursionlimit(max(limit, 20000))
+        sys.setrecursionlimit(max(limit, 20_000 + FRAMES * len(self.K)))
         try:
             self.program()
         except Fail as e:
             self.errors.append((e.at, e.cause))
-        except RecursionError:
-            self.errors.append((self.i, "nested too deeply"))
         finally:
             sys.setrecursionlimit(limit)
         starts = self.t.starts

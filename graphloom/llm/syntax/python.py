@@ -144,6 +144,7 @@ class Py(Parser):
 
     def __init__(self, toks, memo):
         super().__init__(toks, memo)
+        self._sums = None  # indents less dedents before each token
         self.kind = ""  # what the expression just read can stand for: target, call, tuple or else
 
     def chunk_end(self, i):
@@ -164,8 +165,11 @@ class Py(Parser):
         return j if need == 0 else -1
 
     def _depth(self, i, j):
-        seg = self.K[i:j]
-        return seg.count("indent") - seg.count("dedent")
+        if self._sums is None:
+            self._sums = [0]
+            for k in self.K:
+                self._sums.append(self._sums[-1] + (k == "indent") - (k == "dedent"))
+        return self._sums[j] - self._sums[i]
 
     def program(self):
         self.items(self.statement, "s", frozenset(["eof"]))

@@ -738,10 +738,13 @@ class Rb(Parser):
         self.target = False
 
     # -- keywords
-    def scope(self, rule, *args):
+    def scope(self, rule, ends=None):
         was = self.no_do, self.no_bar, self.no_brace, self.no_in
         self.no_do = self.no_bar = self.no_brace = self.no_in = False
-        rule(*args)
+        if ends is None:
+            rule()
+        else:
+            rule(ends)
         self.no_do, self.no_bar, self.no_brace, self.no_in = was
 
     def k_if(self):
