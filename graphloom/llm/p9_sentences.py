@@ -14,15 +14,16 @@ from graphloom.sources.tables import Scratch, table
 FOUND = "doc_id bigint, nr int, start_at int, end_at int"
 
 
+_EVIDENCE = "struct<kind: string, word: string, yes: int, no: int>"
+
+
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("word", pa.string()), ("yes", pa.int32()), ("no", pa.int32())]))
     for b in batches:
-        cols: tuple[list, list, list, list, list] = ([], [], [], [], [])
-        for key, text in zip(b["text_key"].to_pylist(), b["text"].to_pylist()):
-            for (kind, word), (yes, no) in evidence(text, looks_like_chat(text)).items():
-                for c, v in zip(cols, (key, kind, word, yes, no)):
-                    c.append(v)
-        types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["text_key", "kind", "word", "yes", "no"])
+        texts = b["text"].to_pylist()
+        chats = [looks_like_chat(t) for t in texts]
+        own = [[{"kind": k, "word": w, "yes": y, "no": n} for (k, w), (y, n) in evidence(t, c).items()] for t, c in zip(texts, chats)]
+        yield pa.RecordBatch.from_arrays([b["doc_id"], b["text"], pa.array(chats, pa.bool_()), pa.array(own, kind)], names=["doc_id", "text", "chat", "own"])
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -31,8 +32,9 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nrs: list[int] = []
         starts: list[int] = []
         ends: list[int] = []
-        for i, text, known in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["known"].to_pylist()):
-            for nr, (s, e) in enumerate(sentences(text, looks_like_chat(text), frozenset(known or ()))):
+        for i, text, chat, seen, known in zip(*(b[c].to_pylist() for c in ("doc_id", "text", "chat", "own", "known"))):
+            own = {(x["kind"], x["word"]): (x["yes"], x["no"]) for x in seen}
+            for nr, (s, e) in enumerate(sentences(text, chat, frozenset(known or ()), own)):
                 ids.append(i)
                 nrs.append(nr)
                 starts.append(s)
@@ -53,18 +55,23 @@ def split_sentences(docs: DataFrame) -> DataFrame:
     kept as null. Other columns are ignored.
     """
     docs = docs.select("doc_id", "text").where(F.col("text").isNotNull() & F.col("text").rlike(r"\S"))
-    docs = docs.withColumn("text_key", F.xxhash64("text"))
     scratch = Scratch(docs.sparkSession, "sentences")
-    ev = docs.select("text_key", "text").mapInArrow(_evidence, "text_key bigint, kind string, word string, yes bigint, no bigint")
-    ev = scratch.keep(ev, "evidence")
+    seen = docs.mapInArrow(_evidence, f"doc_id bigint, text string, chat boolean, own array<{_EVIDENCE}>")
+    seen = scratch.keep(seen.withColumn("text_id", F.monotonically_increasing_id()), "evidence")
+    ev = seen.select("text_id", F.explode("own").alias("x")).select("text_id", "x.*")
+    # summed map-side: one row a word and task is shuffled
     stats = ev.groupBy("kind", "word").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-    word = F.col("word")
-    said = F.when(F.col("kind") == "A", F.when((F.col("yes") >= 3) & (F.col("yes") * 2 > F.col("no") * 3), F.concat(F.lit("A"), word)).when(
-        (F.col("no") >= 3) & (F.col("no") > F.col("yes") * 2), F.concat(F.lit("N"), word)
-    )).when((F.col("yes") >= 2) & (F.col("yes") > F.col("no")), F.concat("kind", word))
-    stats = stats.select("kind", "word", said.alias("said")).where("said is not null")
-    known = ev.select("text_key", "kind", "word").join(stats, ["kind", "word"]).groupBy("text_key").agg(F.collect_set("said").alias("known"))
-    return docs.join(known, "text_key", "left").select("doc_id", "text", "known").mapInArrow(_split, FOUND)
+    word, kind, yes, no = (F.col(c) for c in ("word", "kind", "yes", "no"))
+    said = (
+        F.when(kind == "A", F.when((yes >= 3) & (yes * 2 > no * 3), F.concat(F.lit("A"), word)).when((no >= 3) & (no > yes * 2), F.concat(F.lit("N"), word)))
+        .when(kind == "T", F.when((yes >= 5) & (yes > no * 6), F.concat(F.lit("T"), word)))
+        .when((yes >= 2) & (yes > no), F.concat(kind, word))
+    )
+    stats = scratch.keep(stats.select("kind", "word", said.alias("said")).where("said is not null"), "said")
+    # a text that decides on a word by itself need not be told: most texts on most frequent words, so that none of those is a hot key
+    ask = ev.where(~((kind == "S") & (yes > no)) & ~((kind == "P") & (yes > 0)) & ~((kind == "A") & (yes + no >= 3) & ((yes > 2 * no) | (no > 2 * yes))))
+    known = ask.select("text_id", "kind", "word").join(stats, ["kind", "word"]).groupBy("text_id").agg(F.collect_set("said").alias("known"))
+    return seen.join(known, "text_id", "left").select("doc_id", "text", "chat", "own", "known").mapInArrow(_split, FOUND)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,7 +156,8 @@ def token_before(text: str, a: int, i: int) -> tuple[str, int]:
 def evidence(text: str, chat: bool) -> dict[tuple[str, str], list[int]]:
     """What the text shows unambiguously: ('A', word) -> [as abbreviation, as a sentence's last word],
     ('S', key) -> [at the start of a block or behind a wide mark, inside],
-    ('P', word) -> [with a capital within a sentence, in lower case]. What stands before a name is no evidence that it
+    ('P', word) -> [with a capital within a sentence, in lower case], ('T', word with a capital) -> [its full stop before a capital word that is
+    never in lower case, before one that is]. What stands before a name is no evidence that it
     ends a sentence."""
     out: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
     if chat:
@@ -184,21 +185,20 @@ def evidence(text: str, chat: bool) -> dict[tuple[str, str], list[int]]:
                 j = e
                 while j < b and text[j].isspace():
                     j += 1
-                k = start_key(text, j, b)
-                if k:
-                    out["S", k][1] += 0
+                if k := start_key(text, j, b):
+                    out["S", k]  # no evidence, but a word the corpus is to be asked about
                 continue
             if text[s] != "." or e - s != 1 or e >= b:
                 continue
-            t, _ = token_before(text, a, s)
-            if not t or not t.isalpha() or len(t) < 2:
+            t, at = token_before(text, a, s)
+            if not t or not t.replace(".", "").replace("-", "").isalpha() or len(t) < 2:
                 if t and text[e].isspace():
                     j = e
                     while j < b and text[j].isspace():
                         j += 1
                     w = next_word(text, j, b)
                     if plain_lower(w):
-                        out["S", w][1] += 0
+                        out["S", w]  # as above
                 continue
             key = ("A", t.lower())
             if text[e] in ",;:":
@@ -221,6 +221,9 @@ def evidence(text: str, chat: bool) -> dict[tuple[str, str], list[int]]:
             else:
                 p = _script(text[j]) == "u" and _WORD.match(text, j, b)
                 if p:
+                    # a word that is never in lower case here may be a name behind a title
+                    if t[0].isupper() and _word_before(text, a, at).islower():
+                        out["T", t][p.group().lower() in small] += 1
                     if p.group() not in named:
                         out["P", p.group()][1] = small.get(p.group().lower(), 0)
                     elif named[p.group()] > small.get(p.group().lower(), 0):
@@ -259,15 +262,21 @@ _THAI = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff]")
 class Judge:
     """Decides on marks with the document's own evidence first and the corpus's behind it."""
 
-    def __init__(self, own: dict[tuple[str, str], list[int]], corpus: frozenset[str]):
-        self.own, self.corpus = own, corpus
+    def __init__(self, own: dict[tuple[str, str], tuple[int, int]], corpus: frozenset[str], small: frozenset[str] = frozenset()):
+        self.own, self.corpus, self.small = own, corpus, small
 
-    def abbreviation(self, word: str) -> bool:
-        """Words that are no listed abbreviation: more often followed by what cannot start a sentence."""
+    def abbreviation(self, word: str) -> bool | None:
+        """Whether the word is an abbreviation by what follows it: in the document, where it shows enough, else in the corpus; None where both are silent."""
         yes, no = self.own.get(("A", word), (0, 0))
         if yes + no >= 3 and (yes > 2 * no or no > 2 * yes):
             return yes > no
-        return "A" + word in self.corpus
+        if "A" + word in self.corpus:
+            return True
+        return False if "N" + word in self.corpus else None
+
+    def title(self, word: str) -> bool:
+        """Whether names follow the word's full stop, in the corpus."""
+        return "T" + word in self.corpus
 
     def final(self, word: str) -> bool:
         """Words that were seen to end sentences, and runs that are no plain word."""
@@ -281,6 +290,10 @@ class Judge:
             return yes > small
         return "P" + word in self.corpus
 
+    def common(self, word: str) -> bool:
+        """Whether a capital word is an ordinary one: in lower case elsewhere in the document, or known to start sentences."""
+        return word.lower() in self.small or self.starts(word)
+
     def starts(self, key: str) -> bool:
         yes, inside = self.own.get(("S", key), (0, 0))
         if yes > inside:
@@ -288,10 +301,13 @@ class Judge:
         return "S" + key in self.corpus
 
 
-def sentences(text: str, chat: bool, corpus: frozenset[str] = frozenset()) -> list[tuple[int, int]]:
-    """(start, end) of every sentence in code points, in order, without white space around them."""
+def sentences(text: str, chat: bool, corpus: frozenset[str] = frozenset(), own: dict | None = None) -> list[tuple[int, int]]:
+    """(start, end) of every sentence in code points, in order, without white space around them. ``own`` is the text's evidence, if it is at hand."""
     out: list[tuple[int, int]] = []
-    judge = Judge({} if chat else evidence(text, chat), corpus)
+    if own is None:
+        own = evidence(text, chat)
+    small = frozenset() if chat or not any(w[0] == "T" for w in corpus) else frozenset(w.rstrip(".,;:!?)”»\"’") for w in text.split() if w[:1].islower())
+    judge = Judge({} if chat else own, corpus, small)
     for a, b in blocks(text, chat):
         cuts = [] if chat else _cuts(text, a, b, judge)
         for s, e in zip([a, *cuts], [*cuts, b]):
@@ -430,6 +446,17 @@ def _ends(text: str, a: int, start: int, s: int, e: int, end: int, b: int, judge
         return False
     low = t.lower()
     w = next_word(text, j, b)
+    if len(t) > 1 and not t.isdigit():
+        # evidence first: the lists below are asked where it is silent or leaves the choice open
+        known = judge.abbreviation(low)
+        if known and (k == "d" and low not in MAYBE or k == "l" and plain_lower(w) and not judge.starts(start_key(text, j, b))):
+            return False
+        # a word that opens the sentence may also be all of it ("No.")
+        if k == "u" and at != _skip_open(text, start) and (m := _WORD.match(text, j, b)):
+            if judge.title(t) and not judge.common(m.group()):
+                return False
+            if known and low not in MAYBE and judge.name(m.group()):
+                return False
     lower = k == "l" and plain_lower(w) and not text.startswith(".", j + len(w))
     starter = judge.starts(start_key(text, j, b))
     if t.isdigit():
@@ -471,10 +498,6 @@ def _ends(text: str, a: int, start: int, s: int, e: int, end: int, b: int, judge
         return True
     if "." in t and t.replace(".", "").isalpha() and all(len(x) == 1 for x in t.split(".")):
         return k == "u" and not lower
-    if judge.abbreviation(low) and (lower and not starter or k == "d"):
-        return False
-    if k == "u" and len(low) > 1 and low.isalpha() and judge.abbreviation(low) and (m := _WORD.match(text, j, b)) and judge.name(m.group()):
-        return False
     return not lower or starter or judge.final(low)
 
 
