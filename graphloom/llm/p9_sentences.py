@@ -14,16 +14,16 @@ from graphloom.sources.tables import Scratch, table
 FOUND = "doc_id bigint, nr int, start_at int, end_at int"
 
 
-_EVIDENCE = "struct<kind: string, word: string, yes: int, no: int>"
-
-
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("word", pa.string()), ("yes", pa.int32()), ("no", pa.int32())]))
+    """Words, each behind the letter of its kind, and the two counts of each; flat lists are cheaper to carry than structs."""
     for b in batches:
         texts = b["text"].to_pylist()
         chats = [looks_like_chat(t) for t in texts]
-        own = [[{"kind": k, "word": w, "yes": y, "no": n} for (k, w), (y, n) in evidence(t, c).items()] for t, c in zip(texts, chats)]
-        yield pa.RecordBatch.from_arrays([b["doc_id"], b["text"], pa.array(chats, pa.bool_()), pa.array(own, kind)], names=["doc_id", "text", "chat", "own"])
+        own = [evidence(t, c) for t, c in zip(texts, chats)]
+        yield pa.RecordBatch.from_arrays(
+            [b["doc_id"], b["text"], pa.array(chats, pa.bool_()), pa.array(map(list, own), pa.list_(pa.string())), *(pa.array(([c[i] for c in o.values()] for o in own), pa.list_(pa.int32())) for i in (0, 1))],
+            names=["doc_id", "text", "chat", "word", "yes", "no"],
+        )
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -32,8 +32,8 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nrs: list[int] = []
         starts: list[int] = []
         ends: list[int] = []
-        for i, text, chat, seen, known in zip(*(b[c].to_pylist() for c in ("doc_id", "text", "chat", "own", "known"))):
-            own = {(x["kind"], x["word"]): (x["yes"], x["no"]) for x in seen}
+        for i, text, chat, word, yes, no, known in zip(*(b[c].to_pylist() for c in ("doc_id", "text", "chat", "word", "yes", "no", "known"))):
+            own = dict(zip(word, zip(yes, no)))
             for nr, (s, e) in enumerate(sentences(text, chat, frozenset(known or ()), own)):
                 ids.append(i)
                 nrs.append(nr)
@@ -56,22 +56,22 @@ def split_sentences(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text").where(F.col("text").isNotNull() & F.col("text").rlike(r"\S"))
     scratch = Scratch(docs.sparkSession, "sentences")
-    seen = docs.mapInArrow(_evidence, f"doc_id bigint, text string, chat boolean, own array<{_EVIDENCE}>")
+    seen = docs.mapInArrow(_evidence, "doc_id bigint, text string, chat boolean, word array<string>, yes array<int>, no array<int>")
     seen = scratch.keep(seen.withColumn("text_id", F.monotonically_increasing_id()), "evidence")
-    ev = seen.select("text_id", F.explode("own").alias("x")).select("text_id", "x.*")
+    ev = seen.select("text_id", F.inline(F.arrays_zip("word", "yes", "no"))).withColumn("kind", F.left("word", F.lit(1)))
     # summed map-side: one row a word and task is shuffled
-    stats = ev.groupBy("kind", "word").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    stats = ev.groupBy("word").agg(F.first("kind").alias("kind"), F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     word, kind, yes, no = (F.col(c) for c in ("word", "kind", "yes", "no"))
     said = (
-        F.when(kind == "A", F.when((yes >= 3) & (yes * 2 > no * 3), F.concat(F.lit("A"), word)).when((no >= 3) & (no > yes * 2), F.concat(F.lit("N"), word)))
-        .when(kind == "T", F.when((yes >= 5) & (yes > no * 6), F.concat(F.lit("T"), word)))
-        .when((yes >= 2) & (yes > no), F.concat(kind, word))
+        F.when(kind == "A", F.when((yes >= 3) & (yes * 2 > no * 3), word).when((no >= 3) & (no > yes * 2), F.concat(F.lit("N"), F.substring(word, 2, 1 << 30))))
+        .when(kind == "T", F.when((yes >= 5) & (yes > no * 6), word))
+        .when((yes >= 2) & (yes > no), word)
     )
-    stats = scratch.keep(stats.select("kind", "word", said.alias("said")).where("said is not null"), "said")
+    stats = scratch.keep(stats.select("word", said.alias("said")).where("said is not null"), "said")
     # a text that decides on a word by itself need not be told: most texts on most frequent words, so that none of those is a hot key
     ask = ev.where(~((kind == "S") & (yes > no)) & ~((kind == "P") & (yes > 0)) & ~((kind == "A") & (yes + no >= 3) & ((yes > 2 * no) | (no > 2 * yes))))
-    known = ask.select("text_id", "kind", "word").join(stats, ["kind", "word"]).groupBy("text_id").agg(F.collect_set("said").alias("known"))
-    return seen.join(known, "text_id", "left").select("doc_id", "text", "chat", "own", "known").mapInArrow(_split, FOUND)
+    known = ask.select("text_id", "word").join(stats, "word").groupBy("text_id").agg(F.collect_set("said").alias("known"))
+    return seen.join(known, "text_id", "left").select("doc_id", "text", "chat", "word", "yes", "no", "known").mapInArrow(_split, FOUND)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

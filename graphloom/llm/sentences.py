@@ -153,40 +153,40 @@ def token_before(text: str, a: int, i: int) -> tuple[str, int]:
     return text[j:i], j
 
 
-def evidence(text: str, chat: bool) -> dict[tuple[str, str], list[int]]:
-    """What the text shows unambiguously: ('A', word) -> [as abbreviation, as a sentence's last word],
+def evidence(text: str, chat: bool) -> dict[str, list[int]]:
+    """What the text shows unambiguously, by a letter and a word: ('A', word) -> [as abbreviation, as a sentence's last word],
     ('S', key) -> [at the start of a block or behind a wide mark, inside],
     ('P', word) -> [with a capital within a sentence, in lower case], ('T', word with a capital) -> [its full stop before a capital word that is
     never in lower case, before one that is]. What stands before a name is no evidence that it
     ends a sentence."""
-    out: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
+    out: dict[str, list[int]] = defaultdict(lambda: [0, 0])
     if chat:
         return out
     named, small = _names(text)
     for w, n in named.items():
-        out["P", w][0] += n
-        out["P", w][1] += small.get(w.lower(), 0)
+        out["P" + w][0] += n
+        out["P" + w][1] += small.get(w.lower(), 0)
     for a, b in blocks(text, chat):
         i = a
         while i < b and (text[i].isspace() or text[i] in _OPEN or text[i] in "\"¿¡"):
             i += 1
         k = start_key(text, i, b)
         if k:
-            out["S", k][0] += 1
+            out["S" + k][0] += 1
         held = _pairs(text, a, b) if any(c in text[a:b] for c in _WIDE) else {}
         for m in _TERM.finditer(text, a, b):
             s, e = m.span()
             if text[s] in _WIDE:
                 k = start_key(text, e, b)
                 if k and not any(o < s < c for o, c in held.items()):
-                    out["S", k][0] += 1
+                    out["S" + k][0] += 1
                 continue
             if m.group() in ("…", "……", "...") and e < b:
                 j = e
                 while j < b and text[j].isspace():
                     j += 1
                 if k := start_key(text, j, b):
-                    out["S", k]  # no evidence, but a word the corpus is to be asked about
+                    out["S" + k]  # no evidence, but a word the corpus is to be asked about
                 continue
             if text[s] != "." or e - s != 1 or e >= b:
                 continue
@@ -198,9 +198,9 @@ def evidence(text: str, chat: bool) -> dict[tuple[str, str], list[int]]:
                         j += 1
                     w = next_word(text, j, b)
                     if plain_lower(w):
-                        out["S", w]  # as above
+                        out["S" + w]  # as above
                 continue
-            key = ("A", t.lower())
+            key = "A" + t.lower()
             if text[e] in ",;:":
                 out[key][0] += 1
                 continue
@@ -215,7 +215,7 @@ def evidence(text: str, chat: bool) -> dict[tuple[str, str], list[int]]:
             w = next_word(text, j, b)
             if plain_lower(w):
                 out[key][0] += 1
-                out["S", w][1] += 1
+                out["S" + w][1] += 1
             elif _script(text[j]) == "d":
                 out[key][0] += 1
             else:
@@ -223,9 +223,9 @@ def evidence(text: str, chat: bool) -> dict[tuple[str, str], list[int]]:
                 if p:
                     # a word that is never in lower case here may be a name behind a title
                     if t[0].isupper() and _word_before(text, a, at).islower():
-                        out["T", t][p.group().lower() in small] += 1
+                        out["T" + t][p.group().lower() in small] += 1
                     if p.group() not in named:
-                        out["P", p.group()][1] = small.get(p.group().lower(), 0)
+                        out["P" + p.group()][1] = small.get(p.group().lower(), 0)
                     elif named[p.group()] > small.get(p.group().lower(), 0):
                         continue
                 out[key][1] += 1
@@ -262,12 +262,12 @@ _THAI = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff]")
 class Judge:
     """Decides on marks with the document's own evidence first and the corpus's behind it."""
 
-    def __init__(self, own: dict[tuple[str, str], tuple[int, int]], corpus: frozenset[str], small: frozenset[str] = frozenset()):
+    def __init__(self, own: dict[str, tuple[int, int]], corpus: frozenset[str], small: frozenset[str] = frozenset()):
         self.own, self.corpus, self.small = own, corpus, small
 
     def abbreviation(self, word: str) -> bool | None:
         """Whether the word is an abbreviation by what follows it: in the document, where it shows enough, else in the corpus; None where both are silent."""
-        yes, no = self.own.get(("A", word), (0, 0))
+        yes, no = self.own.get("A" + word, (0, 0))
         if yes + no >= 3 and (yes > 2 * no or no > 2 * yes):
             return yes > no
         if "A" + word in self.corpus:
@@ -280,12 +280,12 @@ class Judge:
 
     def final(self, word: str) -> bool:
         """Words that were seen to end sentences, and runs that are no plain word."""
-        yes, no = self.own.get(("A", word), (0, 0))
+        yes, no = self.own.get("A" + word, (0, 0))
         return not word.isalpha() or no > 2 * yes or "N" + word in self.corpus
 
     def name(self, word: str) -> bool:
         """Words that have their capital within sentences too."""
-        yes, small = self.own.get(("P", word), (0, 0))
+        yes, small = self.own.get("P" + word, (0, 0))
         if yes or small:
             return yes > small
         return "P" + word in self.corpus
@@ -295,7 +295,7 @@ class Judge:
         return word.lower() in self.small or self.starts(word)
 
     def starts(self, key: str) -> bool:
-        yes, inside = self.own.get(("S", key), (0, 0))
+        yes, inside = self.own.get("S" + key, (0, 0))
         if yes > inside:
             return True
         return "S" + key in self.corpus
