@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def clean(c: Column | str) -> Column:
     """Trimmed of all white space (Unicode too) and in lower case; null stays null, blank becomes ''."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+    # most ids are clean: one look over printable ASCII without capitals saves the rewriting
+    return F.when(c.rlike(r"^[!-@\[-~]+\z"), c).otherwise(F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", "")))
 
 
 def clean_or_null(c: Column | str) -> Column:

@@ -88,9 +88,10 @@ def pagerank(ids: DataFrame, pairs: DataFrame, scratch: Scratch, rounds: int = 1
     ends = out.select("src").distinct()
     rank = scratch.keep(ids.join(ends.withColumn("has", F.lit(True)), ids.id == ends.src, "left").select("id", F.lit(1.0 / n).alias("rank"), F.coalesce("has", F.lit(False)).alias("has")), "rank0")
     for k in range(rounds):
-        lost = rank.where("not has").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("x")).first()["x"]
+        lost = rank.where("not has").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         got = out.join(rank.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        nxt = rank.join(got, "id", "left").select("id", (F.lit((1 - damping) / n + damping * lost / n) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("rank"), "has")
+        base = F.lit((1 - damping) / n) + F.lit(damping / n) * F.col("lost")
+        nxt = rank.join(got, "id", "left").join(F.broadcast(lost)).select("id", (base + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("rank"), "has")
         rank = scratch.keep(nxt, f"rank{k + 1}")
         scratch.drop(f"rank{k}")
     return rank.select("id", "rank")
