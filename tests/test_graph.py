@@ -74,3 +74,40 @@ def test_votes_ranks_sets(spark):
     assert [tuple(r) for r in nearest_rank_by_count(d, ["k"], "x", 0.5, "p").collect()] == [("k", 2.0)]
     s = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (2, "a"), (2, "a"), (3, "a")], "k int, m string")
     assert {r["k"]: r["first_k"] for r in same_sets(s, ["k"], "m").collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_betweenness_against_all_ways(spark):
+    import itertools
+    import random
+
+    from graphloom.operators.centrality import betweenness
+
+    rnd = random.Random(7)
+    ids = [f"n{i}" for i in range(9)]
+    pairs = {(rnd.choice(ids), rnd.choice(ids)) for _ in range(22)}
+    out = {a: [b for x, b in pairs if x == a and b != a] for a in ids}
+
+    def ways(s, t):
+        level, found = [[s]], []
+        while level and not found:
+            level = [[*w, x] for w in level for x in out[w[-1]] if x not in w]
+            found = [w for w in level if w[-1] == t]
+        return found
+
+    want = dict.fromkeys(ids, 0.0)
+    for s, t in itertools.permutations(ids, 2):
+        w = ways(s, t)
+        for x in w:
+            for v in x[1:-1]:
+                want[v] += 1 / len(w)
+    i, p = spark.createDataFrame([(x,) for x in ids], "id string"), spark.createDataFrame(sorted(pairs), "src string, dst string")
+    got = {r["id"]: r["score"] for r in betweenness(i, p, Scratch(spark, "t")).collect()}
+    assert all(abs(got[x] - want[x]) < 1e-5 for x in ids)
+    assert {r["score"] for r in betweenness(i, p, Scratch(spark, "t"), limit=3).collect()} == {0.0}
+
+
+def test_communities_by_weight(spark):
+    p = [("a", "b", 3.0), ("b", "c", 3.0), ("a", "c", 3.0), ("c", "d", 0.1), ("d", "e", 3.0), ("e", "f", 3.0), ("d", "f", 3.0)]
+    ids = spark.createDataFrame([(x,) for x in "abcdefg"], "id string")
+    got = {r["id"]: r["label"] for r in g.communities(ids, spark.createDataFrame(p, "src string, dst string, weight double"), Scratch(spark, "t"), 6).collect()}
+    assert got["a"] == got["b"] == got["c"] and got["d"] == got["e"] == got["f"] and got["g"] == "g" and got["a"] != got["d"]
