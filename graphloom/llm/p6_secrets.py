@@ -15,6 +15,7 @@ from graphloom.sources.tables import Scratch, table
 
 OWNER_SHARE = 0.25  # a literal that more than this share of the repositories hold stands in for a credential
 OWNERS = 4  # and more repositories than this
+BLOCK = 20_000  # literals without a run to look them up by that one pass over the texts searches for
 
 TEXTS = "text_id bigint, task_id bigint, repository_id string, place string, field string, line int, text string"
 HITS = "text_id bigint, task_id bigint, repository_id string, place string, line int, start_at int, end_at int, value string, kind string, anchor string"
@@ -89,10 +90,16 @@ def spans(t: DataFrame, scratch: Scratch) -> DataFrame:
     plain = index.where("kind <> 'private key'")
     words = t.select("text_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]{4,}"), F.lit(0)))).alias("anchor"))
     need = words.join(plain.where("anchor is not null"), "anchor").groupBy("text_id").agg(F.collect_set("value").alias("values"))
-    # literals without such a run are few: at most three letters or digits between marks
-    always = [r["value"] for r in plain.where("anchor is null").select("value").collect()]
-    scan = t.select("text_id", "task_id", "place", "line", "text").join(need, "text_id", "left" if always else "inner")
-    return own.unionByName(scan.mapInArrow(_rescan(always), SPANS))
+    # literals without such a run are few: at most three letters or digits between marks; they go over all texts in blocks of a fixed size
+    bare = plain.where("anchor is null").select("value")
+    blocks = max(1, -(-bare.count() // BLOCK))
+    scan = t.select("text_id", "task_id", "place", "line", "text")
+    out = own
+    for k in range(blocks):
+        always = [r["value"] for r in bare.where(F.pmod(F.xxhash64("value"), F.lit(blocks)) == k).collect()]
+        some = scan.join(need, "text_id", "left" if always else "inner") if k == 0 else scan.withColumn("values", F.array().cast("array<string>"))
+        out = out.unionByName(some.mapInArrow(_rescan(always), SPANS))
+    return out
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
