@@ -32,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Written tables of one run of an operator, in the shared folder.
+    """Written tables of one run of an operator, in the shared folder; results are lazy and read them, so ``clear`` is the caller's.
 
     ``keep`` writes a frame as parquet and reads it back, so that later steps neither recompute nor
     depend on an executor that may be lost. ``drop`` removes tables that no later step reads.
@@ -49,6 +49,10 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def clear(self) -> None:
+        """Removes all tables of this run; results that still read them are gone with them."""
+        self.drop("")
+
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
         for name in names:
