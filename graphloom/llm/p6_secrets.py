@@ -16,6 +16,7 @@ from graphloom.sources.tables import Scratch, table
 OWNER_SHARE = 0.25  # a literal that more than this share of the repositories hold stands in for a credential
 OWNERS = 4  # and more repositories than this
 BLOCK = 20_000  # literals without a run to look them up by that one pass over the texts searches for
+BROADCAST_BYTES = 32 << 20  # greatest index of literals that is sent to every executor
 
 TEXTS = "text_id bigint, task_id bigint, repository_id string, place string, field string, line int, text string"
 HITS = "text_id bigint, task_id bigint, repository_id string, place string, line int, start_at int, end_at int, value string, kind string, anchor string"
@@ -89,10 +90,14 @@ def spans(t: DataFrame, scratch: Scratch) -> DataFrame:
     # private keys are written over lines and found by their form everywhere
     plain = index.where("kind <> 'private key'")
     words = t.select("text_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]{4,}"), F.lit(0)))).alias("anchor"))
-    need = words.join(plain.where("anchor is not null"), "anchor").groupBy("text_id").agg(F.collect_set("value").alias("values"))
+    size = plain.agg(F.count_if(F.col("anchor").isNull()).alias("bare"), F.coalesce(F.sum(F.octet_length("value") + 64), F.lit(0)).alias("bytes")).first()
+    found = plain.where("anchor is not null").select("anchor", "value")
+    # a small index saves the words of all texts a shuffle; beyond the bound both sides are shuffled by the run
+    found = F.broadcast(found) if size["bytes"] <= BROADCAST_BYTES else found
+    need = words.join(found, "anchor").groupBy("text_id").agg(F.collect_set("value").alias("values"))
     # literals without such a run are few: at most three letters or digits between marks; they go over all texts in blocks of a fixed size
     bare = plain.where("anchor is null").select("value")
-    blocks = max(1, -(-bare.count() // BLOCK))
+    blocks = max(1, -(-size["bare"] // BLOCK))
     scan = t.select("text_id", "task_id", "place", "line", "text")
     out = own
     for k in range(blocks):
