@@ -13,11 +13,16 @@ _WORDS = frozenset(
 )
 _SOFT = frozenset(["match", "case", "type", "_"])
 _STR = r"(?:[rRuUbBfFtT]|[rR][bBfFtT]|[bBfFtT][rR])?"
+# Combining marks and variation selectors, which go on with a name but are no word characters.
+_MARKS = (
+    "\u0300-\u036f\u0483-\u0487\u0591-\u05bd\u05bf\u05c1\u05c2\u05c4\u05c5\u0610-\u061a\u064b-\u065f\u0670\u06d6-\u06dc\u06df-\u06e4\u0900-\u0903\u093a-\u093c\u093e-\u094f\u0e31\u0e34-\u0e3a"
+    "\u0e47-\u0e4e\u1ab0-\u1abd\u1dc0-\u1dff\u20d0-\u20dc\u20e1\u20e5-\u20f0\u3099\u309a\ufe00-\ufe0f\ufe20-\ufe2f\U000e0100-\U000e01ef"
+)
 _RX = re.compile(
     "|".join([
         r"(?P<sp>[ \t\f]+|\\\n|#[^\n]*)", r"(?P<nl>\n)",
         _STR.join(["(?P<str>", r"""(?:\"\"\"(?:[^"\\]|\\[\s\S]|"(?!""))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|"(?!"")(?:[^"\\\n]|\\[\s\S])*"|'(?!'')(?:[^'\\\n]|\\[\s\S])*'|""(?!")|''(?!')))"""]),
-        r"(?P<id>[^\W\d]\w*)",
+        rf"(?P<id>[^\W\d][\w{_MARKS}]*)",
         r"(?P<num>0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:(?:[0-9](?:_?[0-9])*)?\.[0-9](?:_?[0-9])*|[0-9](?:_?[0-9])*\.?)(?:[eE][+-]?[0-9](?:_?[0-9])*)?[jJ]?)",
         r"(?P<op>\*\*=|//=|>>=|<<=|\.\.\.|!=|->|:=|==|<=|>=|\*\*|//|>>|<<|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@=|[-+*/%@&|^~<>()\[\]{},:.;=])",
     ])

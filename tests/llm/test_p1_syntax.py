@@ -51,3 +51,10 @@ def test_spark_rows(spark):
     rows = [(1, "r", "py", "x = (", "e"), (2, "r", "py", None, "e"), (3, "r", None, "x", "e"), (4, "r", "js", "", "e"), (1, "r", "py", "x = (", "e")]
     got = sorted((r["task_id"], r["n_errors"] > 0) for r in parse_files(spark.createDataFrame(rows, "task_id bigint, repository_id string, lang string, content string, n_errors string")).collect())
     assert got == [(1, True), (1, True), (4, False)]
+
+
+def test_what_python_allows():
+    for text in ("match x:\n    case y as v,:\n        pass\n", 'x = f"{a["b"]}"\n', "x\u0301 = 1\na\ufe00b = x\u0301\n", "def f():\n    return (yield)\n"):
+        assert errors("py", text) == []
+    for text in ("\u0301x = 1\n", "x \u0301 = 1\n", "a \u201cb\u201d = 1\n"):
+        assert errors("py", text) != []
