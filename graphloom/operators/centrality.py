@@ -23,7 +23,8 @@ def betweenness(ids: DataFrame, pairs: DataFrame, scratch: Scratch, limit: int =
     """
     ids = scratch.keep(ids.select("id").where("id is not null").distinct(), "ids")
     pairs = scratch.keep(pairs.select("src", "dst").where("src <> dst").distinct(), "pairs")
-    if ids.count() > limit or pairs.count() > MAX_PAIRS:
+    n = ids.count()
+    if not n or n > limit or pairs.count() > MAX_PAIRS:
         return ids.withColumn("score", F.lit(0.0))
     nodes = sorted(r["id"] for r in ids.collect())
     place = {v: i for i, v in enumerate(nodes)}
