@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.files import task_files, tasks
-from graphloom.llm.secrets import anchor, blank, candidates, rescan
+from graphloom.llm.secrets import anchor, blank, candidates, scanner
 from graphloom.sources.tables import Scratch, table
 
 OWNER_SHARE = 0.25  # a literal that more than this share of the repositories hold stands in for a credential
@@ -66,8 +66,10 @@ def _rescan(always: list[str]):
         schema = pa.schema([("text_id", pa.int64()), ("task_id", pa.int64()), ("place", pa.string()), ("line", pa.int32()), ("start_at", pa.int32()), ("end_at", pa.int32())])
         for b in batches:
             rows = []
-            for i, task, place, line, text, values in zip(*(b[c].to_pylist() for c in ("text_id", "task_id", "place", "line", "text", "values"))):
-                for s, e in rescan(text, [*(values or ()), *always]):
+            # one automaton a batch: what a text holds of the literals of others has its run in the text too, so is its own
+            scan = scanner({*always, *(v for values in b["values"].to_pylist() for v in values or ())})
+            for i, task, place, line, text in zip(*(b[c].to_pylist() for c in ("text_id", "task_id", "place", "line", "text"))):
+                for s, e in scan(text):
                     rows.append((i, task, place, _line(place, line, text, s), s, e))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
 

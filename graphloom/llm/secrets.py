@@ -7,8 +7,11 @@ import binascii
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 from typing import NamedTuple
 
+import ahocorasick
+
 
 class Hit(NamedTuple):
     start: int  # where the credential begins
@@ -295,17 +298,25 @@ def anchor(value: str) -> str | None:
     return max(_RUN.findall(value), key=len, default=None)
 
 
-def rescan(text: str, values: list[str]) -> list[tuple[int, int]]:
-    """Where the text holds one of the values, none as a part of a longer word."""
-    out = []
+def scanner(values: set[str]) -> Callable[[str], list[tuple[int, int]]]:
+    """A function that tells where a text holds any of the values, none as a part of a longer word: one automaton, one pass a text."""
+    trie = ahocorasick.Automaton()
     for v in values:
-        at = text.find(v)
-        while at >= 0:
-            end = at + len(v)
+        if v:
+            trie.add_word(v, len(v))
+    if not len(trie):
+        return lambda text: []
+    trie.make_automaton()
+
+    def scan(text: str) -> list[tuple[int, int]]:
+        out = set()
+        for last, n in trie.iter(text):
+            at, end = last - n + 1, last + 1
             if not _WORDLIKE.match(text[max(0, at - 1) : at]) and not _WORDLIKE.match(text[end : end + 1]):
-                out.append((at, end))
-            at = text.find(v, at + 1)
-    return sorted(set(out))
+                out.add((at, end))
+        return sorted(out)
+
+    return scan
 
 
 _WORDLIKE = re.compile(r"[A-Za-z0-9]")
